@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracklake.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, substring_dedup, token_files, toxicity
+from tracklake.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, pii, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_pfair_mix": mixing.op2_pfair_mix,
+    "op3_pii": pii.op3_pii,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_embeddings": embedding_dedup.op5_embeddings,
     "op6_pack": packing.op6_pack,
