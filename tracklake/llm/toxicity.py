@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tracklake.llm.common import table
 
@@ -134,9 +135,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     order = F.xxhash64("id", F.lit("fit"))
     sample = marked.where("label = 0").orderBy(order, "id").limit(per_class).union(marked.where("label = 1").orderBy(order, "id").limit(per_class))
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text", "id")
+    there = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    in0, in1 = there.get(0, 0), there.get(1, 0)
+    if not in0 or not in1:
+        return Model(sizes, bits, np.zeros(1 << bits, np.float32), float(np.log((in1 + 1e-9) / (in0 + 1e-9))))
     seen = known.mapInArrow(_counter(sizes, bits), "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= least)
     f, c0, c1 = (seen.toArrow().sort_by("f")[c].to_numpy().astype(np.float64) for c in ("f", "n0", "n1"))
-    in0, in1 = min(n0, per_class), min(n1, per_class)
     ratio = np.log((c1 + smoothing) / (in1 + 2 * smoothing)) - np.log((c0 + smoothing) / (in0 + 2 * smoothing))
     sure = np.abs(ratio) / np.sqrt(1 / (c1 + smoothing) + 1 / (c0 + smoothing))
     best = np.sort(np.argsort(-sure, kind="stable")[:kept])
@@ -168,28 +172,29 @@ def _vectors_of(sizes: tuple[int, ...], bits: int, shared):
     return vectors
 
 
-def _scorer(sizes: tuple[int, ...], bits: int, bias: float, shared):
+def _scorer(sizes: tuple[int, ...], bits: int, bias: float, shared, text_col: str, names: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, weights = Features(sizes, bits), shared.value
         for batch in batches:
-            z = np.array([bias + float(weights[features.of(t)].sum(dtype=np.float64)) for t in batch.column("_text").to_pylist()], np.float64)
-            columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_text"]
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*names, "score"])
+            texts = batch.column(batch.schema.names.index(text_col))
+            z = np.array([bias + float(weights[features.of(texts[i].as_py())].sum(dtype=np.float64)) for i in range(len(texts))], np.float64)
+            kept = [batch.column(batch.schema.names.index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*names, "score"])
 
     return score
 
 
-def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All rows of docs with score (0 to 1) and predicted (1 if score >= 0.5), from the whole text alone.
+def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """All rows of docs with score (0 to 1) and predicted (1 if score >= 0.5), from the whole text alone; without the text, if that isn't to be kept.
 
-    Null and empty texts have the score of no features. Columns of docs named score or predicted are replaced.
+    Null and empty texts have the score of no features. Other columns of docs named score or predicted are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.weights)
-    own = docs.drop("score", "predicted") if text_col not in ("score", "predicted") else docs
-    rows = own.withColumn("_text", F.col(text_col))
-    schema = rows.drop("_text").schema.add("score", "double")
-    return rows.mapInArrow(_scorer(model.sizes, model.bits, model.bias, shared), schema).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    rows = docs.drop(*({"score", "predicted"} - {text_col}))
+    out = rows.drop("score", "predicted") if keep_text else rows.drop("score", "predicted", text_col)
+    schema = StructType([*out.schema.fields, StructField("score", DoubleType())])
+    scored = rows.mapInArrow(_scorer(model.sizes, model.bits, model.bias, shared, text_col, out.columns), schema)
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -199,4 +204,4 @@ def held_out(id_col: str = "doc_id"):
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit_toxicity(docs, labels.where(~held_out()))
-    return score_toxicity(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return score_toxicity(docs.select("doc_id", "text"), model, keep_text=False).select("doc_id", held_out().alias("held_out"), "score", "predicted")
