@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tracklake.plans import track_queries
+
+_MODULES = (track_queries,)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL: dict = {name: q for m in _MODULES for name, q in m.SQL.items()}
