@@ -1,0 +1,59 @@
+"""Aligning tracks with a template by dynamic time warping; each track is one small group."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def warp(query: np.ndarray, template: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
+    """Least mean cost per step of a path from both starts to both ends, and the path, as (query, template) places."""
+    d = np.sqrt(((query[:, None, :] - template[None, :, :]) ** 2).sum(2))
+    n, m = d.shape
+    total = np.full((n + 1, m + 1), np.inf)
+    total[0, 0] = 0
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            total[i, j] = d[i - 1, j - 1] + min(total[i - 1, j - 1], total[i - 1, j], total[i, j - 1])
+    i, j, path = n, m, [(n - 1, m - 1)]
+    while (i, j) != (1, 1):
+        i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda p: total[p])
+        path.append((i - 1, j - 1))
+    return float(total[n, m] / len(path)), path[::-1]
+
+
+def align(rows: DataFrame, keys: list[str], t: str, vector: str, template: list[list[float]], least: int = 2) -> DataFrame:
+    """Of each row of a track with at least `least` rows: pseudotime (template place / last place; of several the last), cost and skew of its track.
+
+    The template is a parameter, so it goes with the task; a track is the most that a task holds.
+    """
+    kinds = dict(rows.dtypes)
+    shape = np.array(template, np.float64)
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by(t)
+        n, m = table.num_rows, len(shape)
+        out: list[list] = [[], [], [], []]
+        if n >= least:
+            cost, path = warp(np.array(table.column(vector).to_pylist(), np.float64), shape)
+            place = dict(path)
+            skew = float(np.mean([abs(j - i * (m - 1) / max(n - 1, 1)) + abs(i - j * (n - 1) / max(m - 1, 1)) for i, j in path]) / max(n, m))
+            out = [table.column(t).to_pylist(), [place[i] / max(m - 1, 1) for i in range(n)], [cost] * n, [skew] * n]
+        columns = [pa.array([s.as_py()] * len(out[0]), s.type) for s in key]
+        return pa.Table.from_arrays([*columns, pa.array(out[0], table.schema.field(t).type), *[pa.array(o, pa.float64()) for o in out[1:]]], names=[*keys, t, "pseudotime", "cost", "skew"])
+
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{t} {kinds[t]}", "pseudotime double, cost double, skew double"])
+    return rows.select(*keys, t, vector).groupBy(*keys).applyInArrow(one, schema)
+
+
+def response_groups(alignments: DataFrame, keys: list[str], cost_percentile: float = 0.75) -> DataFrame:
+    """Of each track: non_responder if its cost is above the percentile, else early or late by the median of the others' mean speed."""
+    per = alignments.groupBy(*keys).agg(F.first("cost").alias("cost"), ((F.max("pseudotime") - F.min("pseudotime")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("speed"))
+    limit = per.agg(F.percentile("cost", F.lit(cost_percentile)).alias("limit"))
+    per = per.crossJoin(F.broadcast(limit))  # one row
+    middle = per.where("cost <= limit").agg(F.percentile("speed", F.lit(0.5)).alias("middle"))
+    per = per.crossJoin(F.broadcast(middle))
+    group = F.when(F.col("cost") > F.col("limit"), "non_responder").when(F.col("speed") >= F.col("middle"), "early").otherwise("late")
+    return per.select(*keys, "cost", "speed", group.alias("response"))
