@@ -81,7 +81,7 @@ def _encoder(tokenizer_path: str, end: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, ids, held = [], [], 0
-            for i, x in encode_slices(tokenizer_path, batch.column("text").to_pylist(), end):
+            for i, x in encode_slices(tokenizer_path, batch.column("text"), end):
                 rows.append(i)
                 ids.append(x.astype("<u2" if x.max() < 65536 else "<u4").tobytes() + (b"\x02" if x.max() < 65536 else b"\x04"))
                 held += len(ids[-1])
