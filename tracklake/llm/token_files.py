@@ -31,24 +31,36 @@ def pack_block(ids: np.ndarray, percentile: float = 98.0) -> bytes:
     """One block, of 1 to 65,536 ids."""
     low = int(ids.min())
     rest = ids.astype(np.uint32) - np.uint32(low)
-    bits = np.ceil(np.log2(rest.astype(np.float64) + 1)).astype(np.int64)  # exact below 2 ** 32
-    width = int(np.sort(bits)[min(len(bits) - 1, int(len(bits) * percentile / 100))])
-    odd = np.flatnonzero(bits > width)
-    planes = ((rest[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-    packed = np.packbits(planes.ravel(), bitorder="little").tobytes()
-    return _HEAD.pack(len(ids), low, width, len(odd)) + packed + odd.astype("<u2").tobytes() + (rest[odd] >> np.uint32(width) if width < 32 else rest[:0]).astype("<u4").tobytes()
+    at = min(len(rest) - 1, int(len(rest) * percentile / 100))
+    width = int(np.partition(rest, at)[at]).bit_length()
+    odd = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
+    return _HEAD.pack(len(ids), low, width, len(odd)) + _low_bits(rest, width) + odd.astype("<u2").tobytes() + (rest[odd] >> np.uint32(width % 32)).astype("<u4").tobytes()
+
+
+def _low_bits(x: np.ndarray, width: int) -> bytes:
+    """The low bits of each value, one value after the other."""
+    if width in (16, 32):
+        return x.astype(f"<u{width // 8}").tobytes()
+    size = 2 if width < 16 else 4
+    bits = np.unpackbits(x.astype(f"<u{size}").view(np.uint8).reshape(len(x), size), axis=1, bitorder="little")
+    return np.packbits(bits[:, :width].ravel(), bitorder="little").tobytes()
+
+
+def _from_low_bits(data: bytes, n: int, width: int, at: int) -> np.ndarray:
+    if width in (16, 32):
+        return np.frombuffer(data, f"<u{width // 8}", n, at).astype(np.uint32)
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, (n * width + 7) // 8, at), bitorder="little", count=n * width).reshape(n, width)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
 
 
 def unpack_block(data: bytes) -> np.ndarray:
     n, low, width, odd = _HEAD.unpack_from(data)
     at, size = _HEAD.size, (n * width + 7) // 8
-    planes = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=n * width).reshape(n, width)
-    out = np.zeros(n, np.uint32)
-    for i in range(width):
-        out |= planes[:, i].astype(np.uint32) << np.uint32(i)
+    out = _from_low_bits(data, n, width, at)
     if odd:
         places = np.frombuffer(data, "<u2", odd, at + size)
-        out[places] |= np.frombuffer(data, "<u4", odd, at + size + 2 * odd) << np.uint32(width)
+        out[places] |= np.frombuffer(data, "<u4", odd, at + size + 2 * odd).astype(np.uint32) << np.uint32(width)
     return out + np.uint32(low)
 
 
@@ -89,7 +101,7 @@ def _packer(tokenizer_path: str, end: int, block: int, percentile: float, row_id
         for batch in batches:
             of = batch.column(0).to_pylist()
             held = sum(map(len, ids))
-            for i, x in encode_slices(tokenizer_path, batch.column(1).to_pylist(), end):
+            for i, x in encode_slices(tokenizer_path, batch.column(1), end):
                 doc_ids.append(of[i])
                 ids.append(x)
                 held += len(x)
@@ -116,21 +128,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end: int
     rows.mapInArrow(_packer(tokenizer_path, end, block, percentile, row_ids), _WRITTEN).write.option("compression", "zstd").parquet(path)
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, types = ["part", "doc_id", "start", "n_tokens", "ids"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    for batch in batches:
-        for i in range(batch.num_rows):
-            r = batch.slice(i, 1).to_pylist()[0]
-            ids, at, found = unpack_blocks(r["block_starts"], r["payload"]).astype("<u4"), 0, []
-            for doc_id, n in zip(r["doc_ids"], r["n_tokens"], strict=True):
-                found.append((r["part"], doc_id, r["first"] + at, n, ids[at : at + n].tobytes()))
-                at += n
-            yield _batch(found, names, types)
+def _reader(with_ids: bool):
+    last = ("ids", pa.binary()) if with_ids else ("ids_crc32", pa.int64())
+    names, types = ["part", "doc_id", "start", "n_tokens", last[0]], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), last[1]]
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                ids, at, found = unpack_blocks(r["block_starts"], r["payload"]).astype("<u4"), 0, []
+                for doc_id, n in zip(r["doc_ids"], r["n_tokens"], strict=True):
+                    own = ids[at : at + n]
+                    found.append((r["part"], doc_id, r["first"] + at, n, own.tobytes() if with_ids else zlib.crc32(own)))
+                    at += n
+                yield _batch(found, names, types)
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _reader(batches):
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([zlib.crc32(x) for x in batch.column(4).to_pylist()], pa.int64())], names=[*batch.schema.names[:4], "ids_crc32"])
+    return read
 
 
 def read_documents(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
@@ -143,7 +156,7 @@ def read_documents(spark: SparkSession, path: str, ids: bool = True) -> DataFram
     before = files.groupBy("part").agg(F.sum(F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)")).alias("n"))
     before = before.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
     last = ("ids", "binary") if ids else ("ids_crc32", "long")
-    found = files.mapInArrow(_reader if ids else _digests, f"part int, doc_id long, start long, n_tokens long, {' '.join(last)}")
+    found = files.mapInArrow(_reader(ids), f"part int, doc_id long, start long, n_tokens long, {' '.join(last)}")
     return found.join(F.broadcast(before), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", last[0])
 
 
