@@ -2,7 +2,7 @@ import gzip
 import random
 from pathlib import Path
 
-from tracklake.llm.warc import audit, levels_for, merkle_tree, read_warc, warc_records, write_warc
+from tracklake.llm.warc import audit, levels_for, merkle_tree, read_warc, sharded, warc_records, write_warc
 
 
 def pages(spark, n=300):
@@ -12,8 +12,9 @@ def pages(spark, n=300):
 
 
 def test_round_trip_and_damage(spark, tmp_path):
-    records = warc_records(pages(spark), shard_bytes=15_000).cache()
-    write_warc(records, str(tmp_path / "w"))
+    dealt = sharded(pages(spark), shard_bytes=15_000)
+    records = warc_records(dealt).cache()
+    write_warc(dealt, str(tmp_path / "w"))
     back = read_warc(spark, str(tmp_path / "w"))
     assert back.count() == 304
     html = {(r.page_id, r.url, r.html or "") for r in pages(spark).collect()}
@@ -43,7 +44,7 @@ def test_round_trip_and_damage(spark, tmp_path):
 
 
 def test_no_pages(spark, tmp_path):
-    none = warc_records(pages(spark).limit(0))
-    write_warc(none, str(tmp_path / "w"))
+    none = warc_records(sharded(pages(spark).limit(0)))
+    write_warc(sharded(pages(spark).limit(0)), str(tmp_path / "w"))
     assert none.collect() == [] and read_warc(spark, str(tmp_path / "w")).collect() == []
     assert audit(merkle_tree(none, 1), merkle_tree(none, 1), 1).collect() == []

@@ -15,6 +15,7 @@ from tracklake.llm.common import materialize, new_path, table
 
 #: What ends a record; the text writer puts it after each.
 _END = "\r\n\r\n"
+DATE = "2024-01-01T00:00:00Z"
 
 
 def record(id_col: str, url_col: str, html_col: str, date: str) -> Column:
@@ -27,27 +28,40 @@ def record(id_col: str, url_col: str, html_col: str, date: str) -> Column:
     )
 
 
-def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = 8_000_000, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One row for each page: shard, idx, page_id, start, stop, hash (SHA-256 of its bytes), record.
+def sharded(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = 8_000_000, date: str = DATE) -> DataFrame:
+    """Every page with its shard: shard, page_id, url, html. Pages are dealt by the md5 of their id, so that a shard has about `shard_bytes` bytes."""
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    total = rows.agg(F.coalesce(F.sum(_size(date)), F.lit(0))).first()[0]
+    shards = max(1, math.ceil(total / shard_bytes))
+    return rows.withColumn("shard", F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % shards)
+
+
+def _size(date: str) -> Column:
+    return (F.octet_length(record("page_id", "url", "html", date)) + len(_END)).cast("long")
 
-    Pages are dealt to shards of about `shard_bytes` bytes by the md5 of their id; a shard is in the order of id, url and
-    html, nulls first, and start and stop are a record's byte offsets in the shard's file. A null id, url or html is an empty one; repeated
-    rows are records of their own. Line ends in urls are dropped. An empty table gives no records.
+
+def warc_records(pages: DataFrame, date: str = DATE) -> DataFrame:
+    """The table's own list of records, from sharded pages: shard, idx, page_id, start, stop, hash (SHA-256 of a record's bytes).
+
+    A shard is in the order of id, url and html, nulls first; start and stop are a record's byte offsets in the shard's
+    file. A null id, url or html is an empty one; repeated rows are records of their own. Line ends in urls are dropped.
+    An empty table gives no records. Only where ids repeat does the order need the html; elsewhere no page is shuffled.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("_u"), F.col(html_col).alias("_h"), record(id_col, url_col, html_col, date).alias("record"))
-    rows = rows.withColumn("bytes", F.octet_length("record") + len(_END))
-    total = rows.agg(F.coalesce(F.sum(F.col("bytes").cast("long")), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(total / shard_bytes))
-    rows = rows.withColumn("shard", F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % shards)
-    own = Window.partitionBy("shard").orderBy("page_id", "_u", "_h")
-    rows = rows.withColumn("stop", F.sum(F.col("bytes").cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("idx", F.row_number().over(own).cast("long") - 1)
-    return rows.select("shard", "idx", "page_id", (F.col("stop") - F.col("bytes")).alias("start"), "stop", F.sha2("record", 256).alias("hash"), "record")
+    rows = pages.select("shard", "page_id", "url", _size(date).alias("bytes"), F.sha2(record("page_id", "url", "html", date), 256).alias("hash"), "html")
+    twice = pages.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("_id"), F.lit(True).alias("_twice"))
+    if twice.isEmpty():
+        rows = rows.withColumn("html", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(twice, F.col("page_id").eqNullSafe(F.col("_id")), "left").withColumn("html", F.when(F.col("_twice"), F.col("html")))
+    own = Window.partitionBy("shard").orderBy("page_id", "url", "html")
+    rows = rows.withColumn("stop", F.sum("bytes").over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("idx", F.row_number().over(own).cast("long") - 1)
+    return rows.select("shard", "idx", "page_id", (F.col("stop") - F.col("bytes")).alias("start"), "stop", "hash")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Writes each shard as one gzipped WARC file in a folder shard=N; Spark's text writer ends each record."""
-    rows = records.select("shard", "idx", "record").repartition("shard").sortWithinPartitions("shard", "idx")
-    rows.select("shard", "record").write.option("lineSep", _END).option("compression", "gzip").partitionBy("shard").text(path)
+def write_warc(pages: DataFrame, path: str, date: str = DATE) -> None:
+    """Writes each shard of sharded pages as one gzipped WARC file in a folder shard=N; Spark's text writer ends each record."""
+    rows = pages.repartition("shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    rows.select("shard", record("page_id", "url", "html", date).alias("record")).write.option("lineSep", _END).option("compression", "gzip").partitionBy("shard").text(path)
 
 
 def _records(data: bytes) -> Iterator[tuple[int, int, bytes, bool]]:
@@ -153,9 +167,10 @@ def audit(expected: DataFrame, found: DataFrame, levels: int, fanout: int = 16)
 
 def op9_warc_audit(spark: SparkSession, sf_dir: str, levels: int = 4) -> DataFrame:
     """All pages as WARC records in shards; the files are written, read back and audited against the table's own tree."""
-    records = materialize(warc_records(table(spark, sf_dir, "pages")), "warc-records")
+    pages = sharded(table(spark, sf_dir, "pages"))
+    records = materialize(warc_records(pages), "warc-records")
     path = new_path(spark, "warc")
-    write_warc(records, path)
+    write_warc(pages, path)
     if (need := levels_for(records)) > levels:
         raise ValueError(f"a shard needs {need} levels")
     expected = materialize(merkle_tree(records, levels), "warc-tree")
