@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -54,6 +55,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python, going and coming.
+_BATCH_ROWS = 1000
+
+
+def in_batches(rows: DataFrame, function: Callable, schema: object) -> DataFrame:
+    """mapInArrow, with a bound on what a batch of texts takes."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= _BATCH_ROWS:
+        conf.set(key, str(_BATCH_ROWS))
+    return rows.mapInArrow(function, schema)
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 

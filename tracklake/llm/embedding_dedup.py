@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import connected_components, materialize, table
+from tracklake.llm.common import connected_components, in_batches, materialize, table
 
 
 @dataclass
@@ -193,7 +193,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     books = max(max(len(x.first), len(x.second)) for x in indexes.values())
     shared = spark.sparkContext.broadcast(indexes)
-    cells = materialize(classes.select("label", "dim", "rep", "n", "vector").mapInArrow(_prober(shared), _ROW), "vector-cells")
+    cells = materialize(classes.select("label", "dim", "rep", "n", "vector").transform(in_batches, _prober(shared), _ROW), "vector-cells")
     place = ["label", "dim", "c1"]
     sizes = cells.groupBy(*place).agg(F.ceil(F.sum(1 - F.col("kind")) / block).alias("m_blocks"), F.ceil(F.sum("kind") / (4 * block)).alias("p_blocks")).where("m_blocks > 0 AND p_blocks > 0")
     spread = cells.join(materialize(sizes, "vector-sizes"), place)

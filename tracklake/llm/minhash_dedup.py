@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import WordHashes, connected_components, kgram_hashes, materialize, mix64, table
+from tracklake.llm.common import WordHashes, connected_components, in_batches, kgram_hashes, materialize, mix64, table
 
 #: Multipliers of the two permutations of the 32-bit universe.
 _SIGMA, _PI = (0x85EBCA6B, 0xC2B2AE35), (0x7FEB352D, 0x846CA68B)
@@ -142,7 +142,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A pair at the threshold misses all bands with probability (1 - t ** rows) ** bands: below 1e-6 for the production 85 %, 1e-4 for 80 %.
     """
     rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = materialize(rows_.mapInArrow(_signer(words, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"), "minhash-signed")
+    signed = materialize(rows_.transform(in_batches, _signer(words, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"), "minhash-signed")
     one = ["n_shingles", "set_a", "set_b"]
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy(*one).agg(F.min("doc_id").alias("rep"))
@@ -167,7 +167,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         """All links, with those of these pairs, and the components they make."""
         with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        found = both.mapInArrow(_verifier(words, percent), "a long, b long")
+        found = both.transform(in_batches, _verifier(words, percent), "a long, b long")
         links = materialize(found if so_far is None else so_far.union(found), "minhash-links")
         return links, connected_components(links if bound is None else links.union(bound), "minhash-components")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import table
+from tracklake.llm.common import in_batches, table
 from tracklake.llm.tokens import encode_slices
 
 
@@ -144,7 +144,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
         total = docs.agg(F.coalesce(F.sum(F.coalesce(F.length(text_col), F.lit(0)).cast("long") + 16), F.lit(0))).first()[0]
         group = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(max(1, -(-total // group_chars)))).cast("long")
     rows = docs.select(group.alias("group"), F.col(id_col).cast("long").alias("doc_id"), text)
-    encoded = rows.mapInArrow(_encoder(tokenizer_path, end), "group long, doc_id long, ids binary")
+    encoded = rows.transform(in_batches, _encoder(tokenizer_path, end), "group long, doc_id long, ids binary")
     return encoded.groupBy("group").applyInArrow(_pack_group(capacity, with_ids), _PIECES + ", ids binary" * with_ids)
 
 

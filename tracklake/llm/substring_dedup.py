@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import WordHashes, kgram_hashes, materialize, table
+from tracklake.llm.common import WordHashes, in_batches, kgram_hashes, materialize, table
 
 _GRAM = 8
 
@@ -282,24 +282,24 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("doc_id", "text"))
     spark = docs.sparkSession
-    anchors = materialize(rows.select("doc_id", "tie", "text").mapInArrow(_anchors(least), _schema(_ANCHOR)), "substring-anchors")
+    anchors = materialize(rows.select("doc_id", "tie", "text").transform(in_batches, _anchors(least), _schema(_ANCHOR)), "substring-anchors")
     total = anchors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     repeated = materialize(anchors.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "substring-keys")
     hot = spark.sparkContext.broadcast([r.key for r in repeated.where(F.col("n") > max(256, total / hot_keys)).select("key").collect()])
     shared = anchors.select("doc_id", "tie", "key").join(repeated.select("key"), "key").groupBy("doc_id", "tie").agg(F.collect_set("key").alias("keys"))
     pick = shared.select(F.col("doc_id").alias("s_id"), F.col("tie").alias("s_tie"), "keys")
     sorted_ = rows.join(pick, (F.col("tie") == F.col("s_tie")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left").select("doc_id", "tie", "text", "keys")
-    sorted_ = materialize(sorted_.mapInArrow(_sorter(with_text), _schema(_SORTED)), "substring-sorted")
+    sorted_ = materialize(sorted_.transform(in_batches, _sorter(with_text), _schema(_SORTED)), "substring-sorted")
     done = sorted_.where("keys IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept", "kept_sha256")
     some = sorted_.where("keys IS NOT NULL").select("doc_id", "tie", "text", "keys")
-    contexts = some.mapInArrow(_candidates(least, hot, False), _schema(_CONTEXT)).repartition("key").sortWithinPartitions("key", "words")
-    spans = contexts.mapInArrow(_matcher(least), _schema(_SPAN))
+    contexts = some.transform(in_batches, _candidates(least, hot, False), _schema(_CONTEXT)).repartition("key").sortWithinPartitions("key", "words")
+    spans = contexts.transform(in_batches, _matcher(least), _schema(_SPAN))
     if hot.value:
-        windows = materialize(some.mapInArrow(_candidates(least, hot, True), _schema(_WINDOW)), "substring-windows")
+        windows = materialize(some.transform(in_batches, _candidates(least, hot, True), _schema(_WINDOW)), "substring-windows")
         twice = materialize(windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "substring-twice")
         spans = spans.union(windows.join(twice, ["a", "b"]).select("doc_id", "tie", "start", "stop"))
     marks = spans.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).select(F.col("doc_id").alias("s_id"), F.col("tie").alias("s_tie"), "spans")
-    cleaned = some.join(marks, (F.col("tie") == F.col("s_tie")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left").select("doc_id", "text", "spans").mapInArrow(_remover(with_text), _schema(_FINAL))
+    cleaned = some.join(marks, (F.col("tie") == F.col("s_tie")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left").select("doc_id", "text", "spans").transform(in_batches, _remover(with_text), _schema(_FINAL))
     return done.union(cleaned).withColumnRenamed("doc_id", id_col)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import new_path, table
+from tracklake.llm.common import in_batches, new_path, table
 from tracklake.llm.tokens import encode_slices
 
 _HEAD = struct.Struct("<IIBI")
@@ -125,7 +125,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end: int
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    rows.mapInArrow(_packer(tokenizer_path, end, block, percentile, row_ids), _WRITTEN).write.option("compression", "zstd").parquet(path)
+    rows.transform(in_batches, _packer(tokenizer_path, end, block, percentile, row_ids), _WRITTEN).write.option("compression", "zstd").parquet(path)
 
 
 def _reader(with_ids: bool):
@@ -156,7 +156,7 @@ def read_documents(spark: SparkSession, path: str, ids: bool = True) -> DataFram
     before = files.groupBy("part").agg(F.sum(F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)")).alias("n"))
     before = before.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
     last = ("ids", "binary") if ids else ("ids_crc32", "long")
-    found = files.mapInArrow(_reader(ids), f"part int, doc_id long, start long, n_tokens long, {' '.join(last)}")
+    found = files.transform(in_batches, _reader(ids), f"part int, doc_id long, start long, n_tokens long, {' '.join(last)}")
     return found.join(F.broadcast(before), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", last[0])
 
 

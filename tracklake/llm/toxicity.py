@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tracklake.llm.common import table
+from tracklake.llm.common import in_batches, table
 
 
 @dataclass
@@ -139,7 +139,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     in0, in1 = there.get(0, 0), there.get(1, 0)
     if not in0 or not in1:
         return Model(sizes, bits, np.zeros(1 << bits, np.float32), float(np.log((in1 + 1e-9) / (in0 + 1e-9))))
-    seen = known.mapInArrow(_counter(sizes, bits), "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= least)
+    seen = known.transform(in_batches, _counter(sizes, bits), "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= least)
     f, c0, c1 = (seen.toArrow().sort_by("f")[c].to_numpy().astype(np.float64) for c in ("f", "n0", "n1"))
     ratio = np.log((c1 + smoothing) / (in1 + 2 * smoothing)) - np.log((c0 + smoothing) / (in0 + 2 * smoothing))
     sure = np.abs(ratio) / np.sqrt(1 / (c1 + smoothing) + 1 / (c0 + smoothing))
@@ -147,7 +147,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     number = np.full(1 << bits, -1, np.int32)
     number[f[best].astype(np.int64)] = np.arange(len(best), dtype=np.int32)
     shared = spark.sparkContext.broadcast(number)
-    rows = known.mapInArrow(_vectors_of(sizes, bits, shared), "label int, x binary, id long").toArrow().to_pylist()
+    rows = known.transform(in_batches, _vectors_of(sizes, bits, shared), "label int, x binary, id long").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["id"], r["x"]))
     x, y = [np.frombuffer(r["x"], "<i4") for r in rows], np.array([r["label"] for r in rows], np.float64)
     weight = np.where(y == 1, n1 / in1, n0 / in0)
@@ -193,7 +193,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep_t
     rows = docs.drop(*({"score", "predicted"} - {text_col}))
     out = rows.drop("score", "predicted") if keep_text else rows.drop("score", "predicted", text_col)
     schema = StructType([*out.schema.fields, StructField("score", DoubleType())])
-    scored = rows.mapInArrow(_scorer(model.sizes, model.bits, model.bias, shared, text_col, out.columns), schema)
+    scored = rows.transform(in_batches, _scorer(model.sizes, model.bits, model.bias, shared, text_col, out.columns), schema)
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 

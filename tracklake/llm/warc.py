@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import materialize, new_path, table
+from tracklake.llm.common import in_batches, materialize, new_path, table
 
 #: What ends a record; the text writer puts it after each.
 _END = "\r\n\r\n"
@@ -116,7 +116,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     if "shard" not in files.columns:  # no file was written
         files = files.withColumn("shard", F.lit(None).cast("long"))
-    return files.select(F.col("shard").cast("long"), "content").mapInArrow(_parse, "shard long, idx long, start long, stop long, hash string, page_id long, url string, html string")
+    return files.select(F.col("shard").cast("long"), "content").transform(in_batches, _parse, "shard long, idx long, start long, stop long, hash string, page_id long, url string, html string")
 
 
 def merkle_tree(records: DataFrame, levels: int, fanout: int = 16) -> DataFrame:
