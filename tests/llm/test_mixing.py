@@ -37,3 +37,20 @@ def test_default_weights_and_odd_tables(spark):
         assert all(abs(c - (i + 1) / 3) < 1 for c in counts)
     one = mix_sources(spark.createDataFrame([(1, None)], "doc_id long, source string")).collect()
     assert [(g.seq, g.block, g.slot, g.position) for g in one] == [(0, 0, 0, 0)]
+
+
+def test_many_sources_below_one_slot(spark):
+    rows = [(100 * s + i, f"s{s:03}") for s in range(100) for i in range(60 if s < 20 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {f"s{s:03}": 1 + (s >= 10) for s in range(20)}
+    for first in range(2):  # the excess must not fall on the source that sorts first, and neither on another
+        given = weights if first else dict.fromkeys(weights, 1)
+        got = mix_sources(docs, given, block=1, period=1000).collect()
+        assert sorted(g.doc_id for g in got) == sorted(i for i, _ in rows)
+        assert sorted(g.position for g in got) == list(range(len(rows)))
+        assert all(g.release <= g.slot < g.deadline for g in got) and len({g.slot for g in got}) == len(rows)
+        # block 0 is due by slot ceil(1000 / k)
+        k = {g.source: 1000 / g.deadline for g in got if g.block == 0}
+        for s in range(100):
+            due = 1 if s >= 20 else 920 * given[f"s{s:03}"] / sum(given.values())
+            assert abs(k[f"s{s:03}"] - due) < 3

@@ -30,7 +30,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     A source's rows are put in the order of md5(seed + id), then cut into blocks of `block` rows. Its weight is
     `weights[source]` over their sum (a source without one: 0, so it gets the least share there is), or, without weights, its row count to the
-    given power over the sum of these. Weights are rounded to k of `period` slots by largest remainder, at least one slot each.
+    given power over the sum of these. Weights are rounded to k of `period` slots by largest remainder, at least one slot each;
+    if these minimum slots ask for more than the period, they are given first, and the other sources share the rest by their weights.
     Block j of a source is released at slot floor(j * period / k) and due by slot ceil((j + 1) * period / k); each slot
     takes the released block with the earliest deadline. So after any number of slots a source has had less than one
     block more or less than its weight asks for. The schedule repeats itself after `period` slots, so one period is
@@ -65,11 +66,19 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     few = sources.select(F.struct("source_key", "n", share.alias("share")).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("s"))
     few = few.selectExpr("s", "aggregate(s, 0D, (a, x) -> a + x.share) AS total", f"{period} AS period")
     few = few.selectExpr("s", "period", "transform(s, x -> if(total > 0, x.share / total, 1D / size(s)) * period) AS ideal")
-    # at least one slot each; what is left over goes to the largest remainders, what is too much comes from the largest shares
+    # At least one slot each. If lifting the small ones to it asks for more slots than there are, they get theirs first and the
+    # others share what remains by their weights: from the smallest up, a source whose part of the remaining slots is below one has just one.
+    few = few.selectExpr("s", "period", "ideal", "aggregate(ideal, 0L, (a, x) -> a + greatest(1L, cast(floor(x) AS bigint))) > period AS over")
+    few = few.selectExpr("s", "period", "ideal", "over", "aggregate(array_sort(ideal), struct(0L AS ones, cast(period AS double) AS rest), (a, x) -> if(over AND (period - a.ones) * x < a.rest, struct(a.ones + 1 AS ones, a.rest - x AS rest), a)) AS a", "array_sort(ideal) AS sizes")
+    few = few.selectExpr("s", "period", "transform(ideal, x -> if(NOT over, x, if(a.ones > 0 AND x <= sizes[cast(a.ones - 1 AS int)], 1D, (period - a.ones) * x / a.rest))) AS ideal")
+    # what is left over goes to the largest remainders
     few = few.selectExpr("s", "period", "ideal", "transform(ideal, x -> greatest(1L, cast(floor(x) AS bigint))) AS low")
-    few = few.selectExpr("s", "period", "low", "period - aggregate(low, 0L, (a, x) -> a + x) AS left", "transform(array_sort(transform(ideal, (x, i) -> struct(-(x - floor(x)) AS r, i AS i))), x -> x.i) AS by_rest", "array_position(low, array_max(low)) - 1 AS largest")
-    few = few.selectExpr("s", "period", "transform(low, (k, i) -> if(left >= 0, k + if(array_position(by_rest, i) <= left, 1, 0), k + if(i = largest, left, 0))) AS ks")
+    few = few.selectExpr("s", "period", "low", "period - aggregate(low, 0L, (a, x) -> a + x) AS left", "transform(array_sort(transform(ideal, (x, i) -> struct(-(x - floor(x)) AS r, i AS i))), x -> x.i) AS by_rest")
+    few = few.selectExpr("s", "period", "transform(low, (k, i) -> k + if(array_position(by_rest, i) <= left, 1, 0)) AS ks")
+    few = few.selectExpr("s", "period", "if(size(ks) = 0 OR forall(ks, k -> k >= 1) AND aggregate(ks, 0L, (a, k) -> a + k) = period, ks, raise_error('slots do not add up to the period')) AS ks")
     plan = materialize(few.selectExpr("transform(s, x -> x.source_key) AS names", "transform(s, x -> x.n) AS ns", "ks", "period").selectExpr("*", f"{_EDF} AS slots", f"array_min(transform(zip_with(ns, ks, (n, k) -> struct(n AS n, k AS k)), x -> floor(cast(ceil(x.n / {block}) AS bigint) * period / x.k))) AS dry"), "mix-plan")
+    # every source has all of its turns in the period, so that no row is lost in the join on them
+    plan = plan.withColumn("slots", F.expr("if(transform(element_at(slots, -1).given, (g, i) -> g + if(i = element_at(slots, -1).src, 1, 0)) = ks, slots, raise_error('a source lacks slots'))"))
     slots = plan.selectExpr("names", "ns", "ks", "dry", "inline(slots)").selectExpr("names[src] AS source_key", "turn", "slot AS place", "given", "ns", "ks", "dry", "ks[src] AS k")
 
     own = Window.partitionBy("source_key", "_bucket").orderBy("_order", F.col(id_col))
