@@ -105,3 +105,50 @@ def test_very_long_runs(spark):
     rows = [(1, "a" * n), (2, "1" * n), (3, "1 " * n), (4, "a." * n + "@" + "b." * n), (5, "+" + "1." * n), (6, "a@b.c " * 2000)]
     got = {g.doc_id: g for g in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()}
     assert len(got[6].email) == 2000 and len(got[4].email) == 1 and not got[1].email and not got[2].card and not got[3].card
+
+
+def brute_whole(texts, reach, least, generalise):
+    near, support, together, has = brute_near(texts, reach), defaultdict(set), defaultdict(int), defaultdict(int)
+    entities = [{f"{k}:{v.lower()}" for k, own in base(t).items() for _, _, v in own} for t in texts]
+    for text, own in zip(texts, entities, strict=True):
+        for w in {w.lower() for w in re.findall(r"[^\W\d_]{3,}", text)}:
+            has[w] += 1
+            for e in own:
+                support[w, e].add(text.lower())
+                together[w, e] += 1
+    strong = {w for (w, e), n in together.items() if max(len(support[w, e]), len(near[w, e])) >= least and max(0.0, -math.log2(n / has[w])) <= generalise}
+    out = []
+    for text in texts:
+        spans = [s for own in base(text).values() for s in own]
+        words = [m for m in re.finditer(r"[^\W\d_]{3,}", text) if m[0].lower() in strong]
+        out.append(",".join(f"term:{m.start()}:{m.end()}" for m in words if not any(m.start() < y and m.end() > x for x, y, _ in spans)))
+    return out
+
+
+def brute_near(texts, reach):
+    contexts = defaultdict(set)
+    for text in texts:
+        found = base(text)
+        spans = [s for k in found.values() for s in k]
+        for kind, own in found.items():
+            for a, b, value in own:
+                for lo, hi, before in ((max(a - reach - 1, 0), a, True), (b, min(b + reach + 1, len(text)), False)):
+                    for m in re.finditer(r"[^\W\d_]{3,}", text[lo:hi]):
+                        cut = before and lo and not m.start() or not before and hi < len(text) and m.end() == hi - lo
+                        if not cut and not any(lo + m.start() < y and lo + m.end() > x for x, y, _ in spans):
+                            contexts[m[0].lower(), f"{kind}:{value.lower()}"].add((before, text[lo:hi].lower()))
+    return contexts
+
+
+def test_whole_texts(spark, tmp_path):
+    head = [(800 + i, f"Quentin, {'1 2 ' * 150}{i} quentin {'3 4 ' * 150}q.t@far.org") for i in range(4)]
+    rows = rows_of() + head + [(810, "No address, but Quentin is here."), (811, "Plain text")] + [(820, f"{w} x{i}") for i in range(60) for w in ("alpha", "beta")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op3_pii(spark, str(tmp_path)).collect()
+    texts = [(t or "").replace("\x01", "\x02") for _, t in rows]
+    want = []
+    for (i, _), t, terms in zip(rows, texts, brute_whole(texts, 80, 3, 3.3), strict=True):
+        want.append((i, ",".join([f"{k}:{a}:{b}" for k in PATTERNS for a, b, _ in base(t)[k]] + [terms] * bool(terms))))
+    assert sorted(map(str, ((g.doc_id, g.spans) for g in got))) == sorted(map(str, want))
+    n = {g.doc_id: g.n_term for g in got}
+    assert [n[i] for i in (800, 801, 802, 803)] == [2] * 4 and "term:16:23" in next(g.spans for g in got if g.doc_id == 810)

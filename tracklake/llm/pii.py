@@ -28,16 +28,43 @@ KINDS = [*PATTERNS, "term"]
 _NONE = "cast(array() AS array<struct<start: int, stop: int, value: string>>)"
 
 
-def matches(text: str, pattern: str) -> Column:
-    """All matches in a text without \\x01, with their code point bounds: matches are put between marks and cut out there."""
+def matches(text: str, pattern: str, keep: str = "true") -> Column:
+    """All matches p with `keep` in a text without \\x01, with their code point bounds: matches are put between marks and cut out there."""
     parts = f"split(regexp_replace({text}, r'{pattern}', '\\u0001$0\\u0001'), '\\u0001', -1)"
     return F.expr(
         f"""aggregate({parts}, struct(0 AS i, 0 AS at, {_NONE} AS found),
-        (s, p) -> struct(s.i + 1 AS i, s.at + length(p) AS at, if(s.i % 2 = 1, concat(s.found, array(struct(s.at AS start, s.at + length(p) AS stop, p AS value))), s.found) AS found),
+        (s, p) -> struct(s.i + 1 AS i, s.at + length(p) AS at, if(s.i % 2 = 1 AND {keep}, concat(s.found, array(struct(s.at AS start, s.at + length(p) AS stop, p AS value))), s.found) AS found),
         s -> s.found)"""
     )
 
 
+def _words(text: str) -> Column:
+    """The different words of at least three letters, in lower case."""
+    return F.array_distinct(F.filter(F.transform(F.split(text, r"[^\p{L}]+"), F.lower), lambda w: F.length(w) >= 3))
+
+
+def _in_whole_texts(found: DataFrame, near: DataFrame, least_contexts: int) -> DataFrame:
+    """term, entity, together: rows that have both anywhere, for pairs of `near` and pairs in at least `least_contexts` different texts."""
+    texts = found.where("size(entities) > 0").groupBy("text_hash").agg(F.count("*").alias("n"), F.first("words").alias("words"), F.first("entities").alias("entities"))
+    often = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= least_contexts).select("entity")
+    often = materialize(often.union(near.select("entity")).distinct(), "pii-often")
+    pairs = texts.select("n", "words", F.explode("entities").alias("entity")).join(often, "entity").select("n", "entity", F.explode("words").alias("term"))
+    pairs = pairs.groupBy("term", "entity").agg(F.sum("n").alias("together"), F.count("*").alias("texts")).join(near.select("term", "entity", F.lit(True).alias("near")), ["term", "entity"], "left")
+    return pairs.where((F.col("texts") >= least_contexts) | F.col("near")).select("term", "entity", "together")
+
+
+def _everywhere(docs: DataFrame, strong: DataFrame, id_col: str, text_col: str, remove_bits: float) -> DataFrame:
+    """t_id, t_tie, term: every place of a strong term, in all rows that have one. It is told by the entity that it discloses most of."""
+    action = strong.groupBy("term").agg((F.min("bits") <= remove_bits).alias("removed"))
+    rows = docs.select(F.col(id_col).cast("long").alias("t_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t_tie", F.xxhash64("t_id", "text"))
+    hits = rows.select("t_id", "t_tie", F.explode(_words("text")).alias("term")).join(action, "term")
+    hits = hits.groupBy("t_id", "t_tie").agg(F.collect_set("term").alias("strong"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone")).withColumnsRenamed({"t_id": "h_id", "t_tie": "h_tie"})
+    rows = rows.join(hits, (F.col("t_tie") == F.col("h_tie")) & F.col("t_id").eqNullSafe(F.col("h_id"))).withColumn("text", F.translate("text", "\x01", "\x02"))
+    places = rows.select("t_id", "t_tie", "gone", matches("text", r"\p{L}{3,}+", "array_contains(strong, lower(p))").alias("x"))
+    places = places.select("t_id", "t_tie", F.expr("transform(x, x -> struct(x.start AS start, x.stop AS stop, x.value AS value, if(array_contains(gone, lower(x.value)), 'remove', 'generalise') AS action))").alias("term"))
+    return places.dropDuplicates(["t_id", "t_tie"])
+
+
 def _lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of every row: id, tie (a hash of id and text), text without marks, and the base matches of each kind."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -50,7 +77,7 @@ def _lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def find_personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 80, least_contexts: int = 3, remove_bits: float = 1.0, generalise_bits: float = 3.3, with_text: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 80, least_contexts: int = 3, remove_bits: float = 1.0, generalise_bits: float = 3.3, with_text: bool = True, whole_texts: bool = False
 ) -> DataFrame:
     """One row for each row of docs: id, the span lists email, ip, card, phone and term, and with_text the sanitised text.
 
@@ -62,13 +89,18 @@ def find_personal_data(
     least `least_contexts` contexts is removed near the entity if at most `remove_bits` are left, and generalised (to its length class) if at
     most `generalise_bits` are.
 
+    With whole_texts, the rows with both are those that have term and entity anywhere, support is also to meet in so many different texts, and each
+    place outside of base spans of a term that is strong for any entity is marked, in all rows, also in those without the entity.
+
     Null and empty texts have no spans; their sanitised text is empty. Rows with a null or repeated id are rows like others. An empty table gives no rows.
     Other columns aren't read, so their names can't clash.
     """
     lists = _lists(docs, id_col, text_col)
     near = f"flatten(transform(filter(flatten(array({', '.join(f'''transform({k}, x -> struct(x.start AS start, x.stop AS stop, concat('{k}:', lower(x.value)) AS entity))''' for k in PATTERNS)})), x -> true), x -> array(struct(x.entity AS entity, greatest(x.start - {reach} - 1, 0) AS lo, x.start AS hi, true AS before), struct(x.entity AS entity, x.stop AS lo, least(x.stop + {reach} + 1, length(text)) AS hi, false AS before))))"
     lists = lists.withColumn("around", F.expr(near)).withColumn("around", F.expr("transform(around, x -> struct(x.entity, x.lo, x.hi, x.before, x.lo = 0 OR NOT x.before AS from_start, x.hi = length(text) OR x.before AS to_end, substring(text, x.lo + 1, x.hi - x.lo) AS words))"))
-    found = materialize(lists.select("doc_id", "tie", *PATTERNS, "around"), "pii-found")
+    if whole_texts:
+        lists = lists.withColumn("text_hash", F.xxhash64(F.lower("text"))).withColumn("entities", F.expr("array_distinct(transform(around, x -> x.entity))")).withColumn("words", F.when(F.size("around") > 0, _words("text")))
+    found = materialize(lists.select("doc_id", "tie", *PATTERNS, "around", *["text_hash", "entities", "words"] * whole_texts), "pii-found")
 
     places = found.where("size(around) > 0").select("doc_id", "tie", *PATTERNS, F.explode("around").alias("x")).select("*", "x.*").withColumn("context", F.xxhash64("before", F.lower("words")))
     places = places.withColumn("word", F.explode(matches("words", r"\p{L}+")))
@@ -80,22 +112,26 @@ def find_personal_data(
 
     met = places.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id", "tie").alias("together")).where(F.col("contexts") >= least_contexts)
     met = materialize(met, "pii-met")
+    if whole_texts:
+        met = materialize(_in_whole_texts(found, met, least_contexts), "pii-whole")
     if met.isEmpty():
         terms = None
     else:
-        text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-        words = docs.select(F.explode(F.array_distinct(F.split(text, r"[^\p{L}]+"))).alias("term")).where("length(term) >= 3").groupBy("term").agg(F.count("*").alias("rows"))
+        words = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(F.explode(_words("text")).alias("term")).groupBy("term").agg(F.count("*").alias("rows"))
         strong = met.join(words, "term").withColumn("bits", F.greatest(F.lit(0.0), -F.log2(F.col("together") / F.col("rows")))).where(F.col("bits") <= generalise_bits)
         strong = materialize(strong.select("term", "entity", "bits"), "pii-strong")
         action = F.when(F.min("bits") <= remove_bits, "remove").otherwise("generalise")
         terms = places.join(strong, ["term", "entity"]).groupBy("doc_id", "tie", "start", "stop", "value").agg(action.alias("action"))
-        terms = terms.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "value", "action"))).alias("term")).select(F.col("doc_id").alias("t_id"), F.col("tie").alias("t_tie"), "term")
+        terms = _everywhere(docs, strong, id_col, text_col, remove_bits) if whole_texts else terms.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "value", "action"))).alias("term")).select(F.col("doc_id").alias("t_id"), F.col("tie").alias("t_tie"), "term")
     out = found.select("doc_id", "tie", *[F.expr(f"transform({k}, x -> struct(x.start AS start, x.stop AS stop, x.value AS value, 'remove' AS action))").alias(k) for k in PATTERNS])
     none = F.expr("cast(array() AS array<struct<start: int, stop: int, value: string, action: string>>)")
     if terms is None:
         out = out.withColumn("term", none)
     else:
         out = out.join(terms, (F.col("tie") == F.col("t_tie")) & F.col("doc_id").eqNullSafe(F.col("t_id")), "left").withColumn("term", F.coalesce("term", none))
+        if whole_texts:
+            clear = " AND ".join(f"NOT exists({k}, b -> t.start < b.stop AND t.stop > b.start)" for k in PATTERNS)
+            out = out.withColumn("term", F.expr(f"filter(term, t -> {clear})"))
     if with_text:
         texts = docs.select(F.col(id_col).cast("long").alias("s_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("s_tie", F.xxhash64("s_id", "text")).dropDuplicates(["s_id", "s_tie"])
         out = out.join(texts, (F.col("tie") == F.col("s_tie")) & F.col("doc_id").eqNullSafe(F.col("s_id"))).withColumn("sanitised", sanitised())
@@ -121,6 +157,6 @@ def spans_text(kinds: list[str]) -> Column:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_personal_data(table(spark, sf_dir, "documents"), with_text=False)
+    found = find_personal_data(table(spark, sf_dir, "documents"), with_text=False, whole_texts=True)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts[:4], F.sha2(spans_text(KINDS[:4]), 256).alias("base_sha256"), spans_text(KINDS).alias("spans"), counts[4])
