@@ -152,3 +152,12 @@ def test_whole_texts(spark, tmp_path):
     assert sorted(map(str, ((g.doc_id, g.spans) for g in got))) == sorted(map(str, want))
     n = {g.doc_id: g.n_term for g in got}
     assert [n[i] for i in (800, 801, 802, 803)] == [2] * 4 and "term:16:23" in next(g.spans for g in got if g.doc_id == 810)
+
+
+def test_null_ids_and_repeated_rows(spark):
+    met = [(None, f"common {i}{i} x@null.org") for i in range(3)]
+    copies = [(900 + i, f"rare {i}{i} y@copy.org") for i in range(3) for _ in range(20)]
+    docs = spark.createDataFrame(met + copies + [(i, "common words") for i in range(200)], "doc_id long, text string")
+    for whole in (False, True):
+        got = find_personal_data(docs, whole_texts=whole).where("size(term) > 0").select("doc_id", F.expr("transform(term, t -> t.value)").alias("v"), F.expr("transform(term, t -> t.action)").alias("a")).collect()
+        assert sorted(map(str, got)) == sorted(map(str, [type(got[0])(doc_id=i, v=["rare"], a=["remove"]) for i, _ in copies]))

@@ -100,17 +100,18 @@ def find_personal_data(
     lists = lists.withColumn("around", F.expr(near)).withColumn("around", F.expr("transform(around, x -> struct(x.entity, x.lo, x.hi, x.before, x.lo = 0 OR NOT x.before AS from_start, x.hi = length(text) OR x.before AS to_end, substring(text, x.lo + 1, x.hi - x.lo) AS words))"))
     if whole_texts:
         lists = lists.withColumn("text_hash", F.xxhash64(F.lower("text"))).withColumn("entities", F.expr("array_distinct(transform(around, x -> x.entity))")).withColumn("words", F.when(F.size("around") > 0, _words("text")))
-    found = materialize(lists.select("doc_id", "tie", *PATTERNS, "around", *["text_hash", "entities", "words"] * whole_texts), "pii-found")
+    lists = lists.withColumn("row", F.monotonically_increasing_id())  # rows with a null id and repeated ones count like others
+    found = materialize(lists.select("row", "doc_id", "tie", *PATTERNS, "around", *["text_hash", "entities", "words"] * whole_texts), "pii-found")
 
-    places = found.where("size(around) > 0").select("doc_id", "tie", *PATTERNS, F.explode("around").alias("x")).select("*", "x.*").withColumn("context", F.xxhash64("before", F.lower("words")))
+    places = found.where("size(around) > 0").select("row", "doc_id", "tie", *PATTERNS, F.explode("around").alias("x")).select("*", "x.*").withColumn("context", F.xxhash64("before", F.lower("words")))
     places = places.withColumn("word", F.explode(matches("words", r"\p{L}+")))
     # a word that touches the far end of its context may be cut there
     places = places.where("length(word.value) >= 3 AND (from_start OR word.start > 0) AND (to_end OR word.stop < hi - lo)")
     places = places.select("*", (F.col("lo") + F.col("word.start")).alias("start"), (F.col("lo") + F.col("word.stop")).alias("stop"), F.lower("word.value").alias("term"), F.col("word.value").alias("value"))
     clear = " AND ".join(f"NOT exists({k}, b -> start < b.stop AND stop > b.start)" for k in PATTERNS)
-    places = materialize(places.where(clear).select("doc_id", "tie", "entity", "context", "term", "value", "start", "stop"), "pii-places")
+    places = materialize(places.where(clear).select("row", "doc_id", "tie", "entity", "context", "term", "value", "start", "stop"), "pii-places")
 
-    met = places.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id", "tie").alias("together")).where(F.col("contexts") >= least_contexts)
+    met = places.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("together")).where(F.col("contexts") >= least_contexts)
     met = materialize(met, "pii-met")
     if whole_texts:
         met = materialize(_in_whole_texts(found, met, least_contexts), "pii-whole")
