@@ -120,10 +120,11 @@ def _everywhere(docs: DataFrame, found: DataFrame, strong: DataFrame, id_col: st
     spans = found.where("size(entities) > 0").select("doc_id", "tie", *PATTERNS).dropDuplicates(["doc_id", "tie"])
     hits = hits.join(spans, _same(hits, spans), "left").select(hits["doc_id"].alias("h_id"), hits["tie"].alias("h_tie"), "strong", "gone", *PATTERNS)
     hits = materialize(hits, "pii-hits")
-    rows = rows.join(hits, (F.col("tie") == F.col("h_tie")) & F.col("doc_id").eqNullSafe(F.col("h_id"))).dropDuplicates(["doc_id", "tie"])
+    # most texts have hits once there are many entities, so texts are dealt by a shuffle at every size, once
+    rows = rows.join(hits.hint("merge"), (F.col("tie") == F.col("h_tie")) & F.col("doc_id").eqNullSafe(F.col("h_id")))
     rows = rows.withColumn("masked", F.when(F.col("email").isNull(), F.col("text")).otherwise(_masked([*PATTERNS])))
     places = rows.select("doc_id", "tie", "gone", matches("masked", _WORD + "{3,}+", f"NOT contains(p, '{_MASK}') AND array_contains(strong, lower(p))").alias("x"))
-    return places.select("doc_id", "tie", F.expr("transform(x, x -> struct(x.start AS start, x.stop AS stop, x.value AS value, if(array_contains(gone, lower(x.value)), 'remove', 'generalise') AS action))").alias("term"))
+    return places.select("doc_id", "tie", F.expr("transform(x, x -> struct(x.start AS start, x.stop AS stop, x.value AS value, if(array_contains(gone, lower(x.value)), 'remove', 'generalise') AS action))").alias("term")).dropDuplicates(["doc_id", "tie"])
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
