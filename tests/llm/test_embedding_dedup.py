@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from tracklake.llm.embedding_dedup import embedding_dedup, fit_index, traverse
+from tracklake.llm.embedding_dedup import embedding_dedup, fit_index, op5_embeddings, traverse
 
 
 def brute(rows, threshold):
@@ -52,6 +52,31 @@ def test_against_all_pairs(spark):
     assert all(g.n_links <= want[i][0] for i, g in usual.items())
 
 
+def test_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (1, [0.0, 1.0], 2), (5, [0.3, -1.0], 2), (1, [1.0, 0.0], 1), (6, [0.0, 2.0], 2)]
+    links, find = brute(rows, 0.93)
+    got = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), recall=1.0).collect()
+    assert sorted((g.vec_id, g.n_links, g.component_id) for g in got) == sorted((r[0], n, find(r[0])) for r, n in zip(rows, links, strict=True))
+
+
+def test_recall_of_the_query(spark, tmp_path):
+    """The query's own parameters, on a supplied table and neighbours of its vectors near the threshold, against all pairs within labels."""
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    r = np.random.default_rng(9)
+    for i, v, label in rows[:2000]:
+        u = np.array(v) / np.linalg.norm(v)
+        away = r.normal(size=len(u))
+        away -= (away @ u) * u
+        rows.append((100_000 + i, (3 * (u + away / np.linalg.norm(away) * np.tan(np.arccos(r.uniform(0.931, 0.99))))).astype(np.float32).tolist(), label))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found, all_links = sum(g.n_links for g in op5_embeddings(spark, str(tmp_path)).collect()), 0
+    for label in {x[2] for x in rows}:
+        x = np.array([x[1] for x in rows if x[2] == label])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        all_links += int((x @ x.T >= 0.93).sum()) - len(x)
+    assert 0.98 * all_links <= found <= all_links and all_links >= 4000
+
+
 def test_odd_tables(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert embedding_dedup(spark.createDataFrame([], schema)).collect() == []
