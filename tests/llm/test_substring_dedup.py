@@ -40,17 +40,14 @@ def corpus():
 def test_against_all_windows(spark):
     rows = corpus()
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, key int").repartition(6)
-    for least, more in ((35, {}), (35, {"hot_keys": 1}), (5, {})):
+    for least, more in ((35, {}), (35, {"most_places": 10}), (5, {})):
         got = remove_repeated_passages(docs, least=least, **more).collect()
         assert sorted(((g.doc_id, g.n_words, g.n_removed, g.kept_sha256, g.kept) for g in got), key=str) == brute(rows, least)
 
 
-def test_hot_keys_by_digests(spark, monkeypatch):
-    import tracklake.llm.substring_dedup as module
-
+def test_hot_keys_by_digests(spark):
     rows = corpus()
-    monkeypatch.setattr(module, "max", lambda *x: 3, raising=False)  # every key with over 3 places is hot
-    got = remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), most_places=0).collect()  # every repeated key is hot
     assert sorted(((g.doc_id, g.n_words, g.n_removed, g.kept_sha256, g.kept) for g in got), key=str) == brute(rows, 35)
 
 

@@ -51,6 +51,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows that are broadcast at most.
+FEW = 200_000
+
+
+def if_few(rows: DataFrame) -> DataFrame:
+    """Narrow rows for a join: broadcast where they are counted as few, else joined by a merge, whose hot keys adaptive execution splits."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,14 +77,19 @@ def in_batches(rows: DataFrame, function: Callable, schema: object) -> DataFrame
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bound."""
+    """64-bit hashes of words (bytes). Words of up to 64 bytes are remembered, up to a bound, so memory is bounded whatever the texts."""
 
     bound = 400_000
 
+    def hashed(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = self.hashed(word)
+        if len(word) <= 64:
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

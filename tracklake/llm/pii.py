@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import materialize, table
+from tracklake.llm.common import FEW, if_few, materialize, table
 
 #: Fixed patterns. Possessive runs and the look-behinds (a match starts where a run starts, or where the last match
 #: ended) leave the matches as they are and keep long runs from being tried at each of their characters.
@@ -86,14 +86,6 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("text", F.when(F.contains("text", F.lit("\x01")) | F.contains("text", F.lit("\x02")), F.translate("text", "\x01\x02", "\x03\x03")).otherwise(F.col("text")))
 
 
-#: Terms that are broadcast at most; more are joined by a shuffle.
-_FEW = 200_000
-
-
-def _few(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= _FEW else rows
-
-
 def _in_whole_texts(found: DataFrame, near: DataFrame, least_contexts: int) -> DataFrame:
     """term, entity, together: rows that have both anywhere, for pairs of `near` and pairs in at least `least_contexts` different texts."""
     texts = found.where("size(entities) > 0").groupBy("text_hash").agg(F.count("*").alias("n"), F.first("words").alias("words"), F.first("entities").alias("entities"))
@@ -115,7 +107,7 @@ def _everywhere(docs: DataFrame, found: DataFrame, strong: DataFrame, id_col: st
     """doc_id, tie, term: every place of a strong term outside of base spans, in all rows that have one. It is told by the entity that it discloses most of."""
     action = materialize(strong.groupBy("term").agg((F.min("bits") <= remove_bits).alias("removed")), "pii-actions")
     rows = _texts(docs, id_col, text_col)
-    hits = rows.select("doc_id", "tie", F.explode(_words("text")).alias("term")).join(_few(action), "term")
+    hits = rows.select("doc_id", "tie", F.explode(_words("text")).alias("term")).join(if_few(action), "term")
     hits = hits.groupBy("doc_id", "tie").agg(F.collect_set("term").alias("strong"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
     spans = found.where("size(entities) > 0").select("doc_id", "tie", *PATTERNS).dropDuplicates(["doc_id", "tie"])
     hits = hits.join(spans, _same(hits, spans), "left").select(hits["doc_id"].alias("h_id"), hits["tie"].alias("h_tie"), "strong", "gone", *PATTERNS)
@@ -193,7 +185,7 @@ def find_personal_data(
     else:
         met_terms = materialize(met.select("term").distinct(), "pii-terms")
         words = _texts(docs, id_col, text_col).select(F.explode(_words("text")).alias("term"))
-        if met_terms.count() <= _FEW:
+        if met_terms.count() <= FEW:
             words = words.join(F.broadcast(met_terms), "term", "left_semi")
         words = words.groupBy("term").agg(F.count("*").alias("rows"))
         strong = met.join(words, "term").withColumn("bits", F.greatest(F.lit(0.0), -F.log2(F.col("together") / F.col("rows")))).where(F.col("bits") <= generalise_bits)

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import WordHashes, in_batches, kgram_hashes, materialize, table
+from tracklake.llm.common import WordHashes, if_few, in_batches, kgram_hashes, materialize, table
 
 _GRAM = 8
 
@@ -132,7 +133,7 @@ def _anchors(least: int):
     return anchors
 
 
-_SORTED = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string()), ("text", pa.string()), ("keys", pa.list_(pa.int64()))])
+_SORTED = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string()), ("text", pa.string()), ("keys", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64()))])
 
 
 def _sorter(with_text: bool):
@@ -142,13 +143,13 @@ def _sorter(with_text: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = []
-                for doc_id, tie, text, keys in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    if keys:
-                        rows.append((doc_id, tie, None, None, None, text, keys))
+                for doc_id, tie, text, keys, hot in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if keys or hot:
+                        rows.append((doc_id, tie, None, None, None, text, keys, hot))
                     else:
                         words = text.encode().split()
                         kept = b" ".join(words)
-                        rows.append((doc_id, tie, len(words), kept.decode() if with_text else None, hashlib.sha256(kept).hexdigest(), None, None))
+                        rows.append((doc_id, tie, len(words), kept.decode() if with_text else None, hashlib.sha256(kept).hexdigest(), None, None, None))
                 yield _batch(rows, _SORTED)
 
     return sort
@@ -158,26 +159,36 @@ _CONTEXT = pa.schema([("key", pa.int64()), ("words", pa.binary()), ("doc_id", pa
 _WINDOW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
-def _candidates(least: int, hot, windows: bool):
-    """Runs of candidate windows with their words; or, windows, the digests of the windows of the hot keys."""
+class _Second(WordHashes):
+    """Hashes of words that know nothing of the first ones."""
+
+    def hashed(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word, 0x5BD1E995)
+
+
+_second = _Second()
+
+
+def _candidates(least: int, windows: bool):
+    """Runs of windows with a repeated key, with their words; or, windows, the 128-bit digests of the windows of hot keys."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, often = _WINDOW if windows else _CONTEXT, np.asarray(hot.value, np.int64)
+        schema = _WINDOW if windows else _CONTEXT
         for batch in batches:
             rows, size = [], 0
-            for doc_id, tie, text, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, tie, text, keys, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text.encode().split()
                 h = _words.of(words)
                 m = _window_keys(h, least)[1].view(np.int64)
-                chosen, common = np.isin(m, np.array(keys, np.int64)), np.isin(m, often)
+                chosen = np.isin(m, np.array((hot if windows else keys) or [], np.int64))
                 if windows:
-                    places = np.flatnonzero(chosen & common)
+                    places = np.flatnonzero(chosen)
                     if len(places):
-                        a, b = kgram_hashes(h, least).view(np.int64), kgram_hashes(h ^ np.uint64(0xD6E8FEB86659FD93), least).view(np.int64)
+                        a, b = kgram_hashes(h, least).view(np.int64), kgram_hashes(_second.of(words), least).view(np.int64)
                         rows += [(x, y, doc_id, tie, p, p + least) for x, y, p in zip(a[places].tolist(), b[places].tolist(), places.tolist(), strict=True)]
                         size += 60 * len(places)
                 else:
-                    for first, last in _runs(m, chosen & ~common):
+                    for first, last in _runs(m, chosen):
                         context = b" ".join(words[first : last + least])
                         rows.append((int(m[first]), context, doc_id, tie, first))
                         size += len(context) + 40
@@ -265,7 +276,7 @@ def _schema(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 35, hot_keys: int = 65_536, with_text: bool = True) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 35, most_places: int = 1000, with_text: bool = True) -> DataFrame:
     """One row for each row of docs: id, n_words, n_removed, kept (the text that stays), kept_sha256.
 
     Words are runs of anything but [\\x20\\x09-\\x0D]. Every word goes that a window of `least` words covers whose words also start
@@ -276,28 +287,25 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     How: the key of a window is the least hash of its 8-word grams, so equal windows have equal keys, and neighbours mostly
     share one. Keys that occur once in the corpus are dropped. A run of windows with one key takes its words to that key's
     shard; the shard's suffix automaton, weighted with how often each sequence is there, tells which windows occur twice.
-    The corpus is its own reference, so automata would grow with it if they were broadcast: they are built where a shard's text meets. Keys with
-    more than 1 / hot_keys of all keys' places (at most `hot_keys` of them, broadcast) would make large shards;
-    their windows are counted by 128-bit digests instead.
+    The corpus is its own reference, so automata would grow with it if they were broadcast: they are built where a shard's text meets.
+    A shard has at most `most_places` runs, whatever the corpus. Windows of keys that stand at more places are counted by digests of two independent 64-bit
+    word hashes, pre-aggregated, and their places are found by a join of the repeated digests (broadcast only if they are counted as few).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("doc_id", "text"))
-    spark = docs.sparkSession
     anchors = materialize(rows.select("doc_id", "tie", "text").transform(in_batches, _anchors(least), _schema(_ANCHOR)), "substring-anchors")
-    total = anchors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    repeated = materialize(anchors.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "substring-keys")
-    hot = spark.sparkContext.broadcast([r.key for r in repeated.where(F.col("n") > max(256, total / hot_keys)).select("key").collect()])
-    shared = anchors.select("doc_id", "tie", "key").join(repeated.select("key"), "key").groupBy("doc_id", "tie").agg(F.collect_set("key").alias("keys"))
-    pick = shared.select(F.col("doc_id").alias("s_id"), F.col("tie").alias("s_tie"), "keys")
-    sorted_ = rows.join(pick, (F.col("tie") == F.col("s_tie")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left").select("doc_id", "tie", "text", "keys")
+    repeated = materialize(anchors.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key", (F.col("n") > most_places).alias("often")), "substring-keys")
+    # the table of keys is as large as the corpus; places of a hot key are spread by adaptive execution
+    shared = anchors.select("doc_id", "tie", "key").join(repeated.hint("merge"), "key").groupBy("doc_id", "tie")
+    pick = shared.agg(F.collect_set(F.when(~F.col("often"), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("often"), F.col("key"))).alias("hot")).withColumnsRenamed({"doc_id": "s_id", "tie": "s_tie"})
+    sorted_ = rows.join(pick, (F.col("tie") == F.col("s_tie")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left").select("doc_id", "tie", "text", "keys", "hot")
     sorted_ = materialize(sorted_.transform(in_batches, _sorter(with_text), _schema(_SORTED)), "substring-sorted")
-    done = sorted_.where("keys IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept", "kept_sha256")
-    some = sorted_.where("keys IS NOT NULL").select("doc_id", "tie", "text", "keys")
-    contexts = some.transform(in_batches, _candidates(least, hot, False), _schema(_CONTEXT)).repartition("key").sortWithinPartitions("key", "words")
+    done = sorted_.where("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept", "kept_sha256")
+    some = sorted_.where("text IS NOT NULL").select("doc_id", "tie", "text", "keys", "hot")
+    contexts = some.where("size(keys) > 0").transform(in_batches, _candidates(least, False), _schema(_CONTEXT)).repartition("key").sortWithinPartitions("key", "words")
     spans = contexts.transform(in_batches, _matcher(least), _schema(_SPAN))
-    if hot.value:
-        windows = materialize(some.transform(in_batches, _candidates(least, hot, True), _schema(_WINDOW)), "substring-windows")
-        twice = materialize(windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "substring-twice")
-        spans = spans.union(windows.join(twice, ["a", "b"]).select("doc_id", "tie", "start", "stop"))
+    windows = materialize(some.where("size(hot) > 0").transform(in_batches, _candidates(least, True), _schema(_WINDOW)), "substring-windows")
+    twice = materialize(windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "substring-twice")
+    spans = spans.union(windows.join(if_few(twice), ["a", "b"]).select("doc_id", "tie", "start", "stop"))
     marks = spans.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).select(F.col("doc_id").alias("s_id"), F.col("tie").alias("s_tie"), "spans")
     cleaned = some.join(marks, (F.col("tie") == F.col("s_tie")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left").select("doc_id", "text", "spans").transform(in_batches, _remover(with_text), _schema(_FINAL))
     return done.union(cleaned).withColumnRenamed("doc_id", id_col)

@@ -26,15 +26,17 @@ class _Chunks(dict):
 
     def __init__(self) -> None:
         self.fresh: list[str] = []
+        self.chars = 0
 
     def __missing__(self, chunk: str) -> int:
         self[chunk] = i = len(self)
+        self.chars += len(chunk)
         self.fresh.append(chunk)
         return i
 
 
 class ChunkTokenizer:
-    """Encodes texts chunk by chunk and remembers chunks it has met, up to `bound` of them.
+    """Encodes texts chunk by chunk and remembers chunks it has met, up to `bound` of them and 16 characters for each.
 
     A chunk is a run of white space and the word after it. Both tokenizers of this package start a new pre-token
     wherever white space follows a word, and none of their patterns looks behind, so the ids of a text are those of its
@@ -61,9 +63,10 @@ class ChunkTokenizer:
         self.ids, self.starts, self.met = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.int64)
 
     def _forget_rare(self) -> None:
-        """Keeps the chunks that were met more than once, at most half of the bound."""
-        kept = np.flatnonzero(self.met > 1)[: self.bound // 2]
-        keys, n = list(self.known), (self.starts[1:] - self.starts[:-1])[kept]
+        """Keeps the chunks of up to 64 characters that were met more than once, at most half of the bound."""
+        keys = list(self.known)
+        kept = np.array([k for k in np.flatnonzero(self.met > 1).tolist() if len(keys[k]) <= 64][: self.bound // 2], np.int64)
+        n = (self.starts[1:] - self.starts[:-1])[kept]
         stop = np.cumsum(n)
         ids = self.ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.starts[kept] - (stop - n), n)]
         self.forget()
@@ -119,7 +122,7 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text, then the id `end`, as unsigned 32-bit integers."""
-        if len(self.known) > self.bound:
+        if len(self.known) > self.bound or self.known.chars > 16 * self.bound:
             self._forget_rare()
         known = self.known.__getitem__
         places = [np.fromiter(map(known, keys), np.int64, len(keys)) for keys in map(self._keys, texts)]
