@@ -2,7 +2,7 @@ import gzip
 import random
 from pathlib import Path
 
-from tracklake.llm.warc import audit, levels_for, merkle_tree, read_warc, sharded, warc_records, write_warc
+from tracklake.llm.warc import audit, levels_for, merkle_tree, op9_warc_audit, read_warc, sharded, warc_records, write_warc
 
 
 def pages(spark, n=300):
@@ -14,7 +14,7 @@ def pages(spark, n=300):
 def test_round_trip_and_damage(spark, tmp_path):
     dealt = sharded(pages(spark), shard_bytes=15_000)
     records = warc_records(dealt).cache()
-    write_warc(dealt, str(tmp_path / "w"))
+    write_warc(dealt, str(tmp_path / "w"), 20)
     back = read_warc(spark, str(tmp_path / "w"))
     assert back.count() == 304
     html = {(r.page_id, r.url, r.html or "") for r in pages(spark).collect()}
@@ -45,6 +45,21 @@ def test_round_trip_and_damage(spark, tmp_path):
 
 def test_no_pages(spark, tmp_path):
     none = warc_records(sharded(pages(spark).limit(0)))
-    write_warc(sharded(pages(spark).limit(0)), str(tmp_path / "w"))
+    write_warc(sharded(pages(spark).limit(0)), str(tmp_path / "w"), 0)
     assert none.collect() == [] and read_warc(spark, str(tmp_path / "w")).collect() == []
     assert audit(merkle_tree(none, 1), merkle_tree(none, 1), 1).collect() == []
+
+
+def test_one_id_and_repeated_rows_fill_no_shard(spark):
+    one_id = spark.range(100_000).selectExpr("CAST(NULL AS bigint) AS page_id", "'u' AS url", "concat('page ', id) AS html")
+    copies = spark.range(20_000).selectExpr("1L AS page_id", "'v' AS url", "'the same page' AS html")
+    for rows in (one_id, copies, one_id.union(copies)):
+        dealt = sharded(rows, shard_bytes=400_000)
+        sizes = [r["count"] for r in dealt.groupBy("shard").count().collect()]
+        assert sum(sizes) == rows.count() and len(sizes) > 5 and max(sizes) < 8000, sizes
+
+
+def test_query_finds_the_planted_damage(spark):
+    sf = "/root/testdata/sf0.1"
+    got = op9_warc_audit(spark, sf).collect()
+    assert sorted(g.page_id for g in got if not g.intact) == [i for i in range(len(got)) if i % 1000 == 7]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import in_batches, materialize, new_path, table
+from tracklake.llm.common import if_few, in_batches, materialize, new_path, table
 
 #: What ends a record; the text writer puts it after each.
 _END = "\r\n\r\n"
@@ -29,11 +29,21 @@ def record(id_col: str, url_col: str, html_col: str, date: str) -> Column:
 
 
 def sharded(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = 8_000_000, date: str = DATE) -> DataFrame:
-    """Every page with its shard: shard, page_id, url, html. Pages are dealt by the md5 of their id, so that a shard has about `shard_bytes` bytes."""
+    """Every page with its shard: shard, page_id, url, html, digest. Pages are dealt by the md5 of id, url and html, so that a shard has about
+    `shard_bytes` bytes whichever ids repeat. Repeated rows that are more than that together are dealt by their places in the table too.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    total = rows.agg(F.coalesce(F.sum(_size(date)), F.lit(0))).first()[0]
+    none = F.lit("")
+    rows = rows.withColumn("digest", F.md5(F.concat(F.coalesce(F.col("page_id").cast("string"), none), F.lit(" "), F.coalesce("url", none), F.lit(" "), F.coalesce("html", none))))
+    sizes = materialize(rows.groupBy("digest").agg(F.count("*").alias("n"), F.sum(_size(date)).alias("bytes")), "warc-sizes")
+    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / shard_bytes))
-    return rows.withColumn("shard", F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % shards)
+    dealt = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
+    heavy = sizes.where((F.col("n") > 1) & (F.col("bytes") > shard_bytes)).select("digest", F.ceil(F.col("bytes") / shard_bytes).alias("parts"))
+    if not heavy.isEmpty():
+        rows = materialize(rows.withColumn("copy", F.monotonically_increasing_id()), "warc-rows").join(if_few(heavy), "digest", "left")
+        dealt = dealt + F.when(F.col("parts").isNull(), 0).otherwise(F.col("copy") % F.col("parts"))
+    return rows.withColumn("shard", dealt % shards).select("shard", "page_id", "url", "html", "digest")
 
 
 def _size(date: str) -> Column:
@@ -43,24 +53,22 @@ def _size(date: str) -> Column:
 def warc_records(pages: DataFrame, date: str = DATE) -> DataFrame:
     """The table's own list of records, from sharded pages: shard, idx, page_id, start, stop, hash (SHA-256 of a record's bytes).
 
-    A shard is in the order of id, url and html, nulls first; start and stop are a record's byte offsets in the shard's
+    A shard is in the order of id, url and digest, nulls first; start and stop are a record's byte offsets in the shard's
     file. A null id, url or html is an empty one; repeated rows are records of their own. Line ends in urls are dropped.
-    An empty table gives no records. Only where ids repeat does the order need the html; elsewhere no page is shuffled.
+    An empty table gives no records. No page is shuffled.
     """
-    rows = pages.select("shard", "page_id", "url", _size(date).alias("bytes"), F.sha2(record("page_id", "url", "html", date), 256).alias("hash"), "html")
-    twice = pages.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("_id"), F.lit(True).alias("_twice"))
-    if twice.isEmpty():
-        rows = rows.withColumn("html", F.lit(None).cast("string"))
-    else:
-        rows = rows.join(twice, F.col("page_id").eqNullSafe(F.col("_id")), "left").withColumn("html", F.when(F.col("_twice"), F.col("html")))
-    own = Window.partitionBy("shard").orderBy("page_id", "url", "html")
+    rows = pages.select("shard", "page_id", "url", "digest", _size(date).alias("bytes"), F.sha2(record("page_id", "url", "html", date), 256).alias("hash"))
+    own = Window.partitionBy("shard").orderBy("page_id", "url", "digest")
     rows = rows.withColumn("stop", F.sum("bytes").over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("idx", F.row_number().over(own).cast("long") - 1)
     return rows.select("shard", "idx", "page_id", (F.col("stop") - F.col("bytes")).alias("start"), "stop", "hash")
 
 
-def write_warc(pages: DataFrame, path: str, date: str = DATE) -> None:
-    """Writes each shard of sharded pages as one gzipped WARC file in a folder shard=N; Spark's text writer ends each record."""
-    rows = pages.repartition("shard").sortWithinPartitions("shard", "page_id", "url", "html")
+def write_warc(pages: DataFrame, path: str, shards: int, date: str = DATE) -> None:
+    """Writes each shard of sharded pages as one gzipped WARC file in a folder shard=N; Spark's text writer ends each record.
+
+    There are as many tasks as shards. A file is one gzip member, so records are found by their offsets once it is unpacked.
+    """
+    rows = pages.repartition(max(1, min(shards, 100_000)), "shard").sortWithinPartitions("shard", "page_id", "url", "digest")
     rows.select("shard", record("page_id", "url", "html", date).alias("record")).write.option("lineSep", _END).option("compression", "gzip").partitionBy("shard").text(path)
 
 
@@ -91,12 +99,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 data = gunzip.decompress(content)
             except zlib.error:  # as far as it can be read: byte by byte up to the damage
-                gunzip, data = zlib.decompressobj(31), b""
+                gunzip, data = zlib.decompressobj(31), bytearray()
                 for at in range(0, len(content), 64):
                     try:
                         data += gunzip.decompress(content[at : at + 64])
                     except zlib.error:
                         break
+                data = bytes(data)
             rows = []
             for idx, (start, stop, own, whole) in enumerate(_records(data)):
                 head, _, html = own.partition(_END.encode())
@@ -123,7 +132,7 @@ def merkle_tree(records: DataFrame, levels: int, fanout: int = 16) -> DataFrame:
     """Nodes (level, shard, idx, start, stop, hash): level 0 are records, a node above covers `fanout` that follow each other.
 
     Its hash is the SHA-256 of its children's offset ranges and hashes in order. `levels` must be so many that each
-    shard ends in one node. No group has more than `fanout` rows.
+    shard ends in one node (levels_for). No group has more than `fanout` rows.
     """
     nodes = records.select(F.lit(0).alias("level"), "shard", "idx", "start", "stop", "hash")
     tree = nodes
@@ -165,17 +174,24 @@ def audit(expected: DataFrame, found: DataFrame, levels: int, fanout: int = 16)
     raise AssertionError
 
 
-def op9_warc_audit(spark: SparkSession, sf_dir: str, levels: int = 4) -> DataFrame:
-    """All pages as WARC records in shards; the files are written, read back and audited against the table's own tree."""
+def _rotten(pages: DataFrame) -> DataFrame:
+    """Sharded pages as a damaged replica has them: of ids that are 7 mod 1000, the first byte of the html is another one, where it is ASCII."""
+    hit = (F.pmod("page_id", F.lit(1000)) == 7) & F.col("html").rlike(r"^[\x20-\x7E]")
+    return pages.withColumn("html", F.when(hit, F.concat(F.when(F.substring("html", 1, 1) == "?", "!").otherwise("?"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html")))
+
+
+def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records in shards. A replica in which some bytes have changed is written as files, read back and audited against the
+    table's own tree: each record's place, hash and root, and whether the replica has it intact.
+    """
     pages = sharded(table(spark, sf_dir, "pages"))
     records = materialize(warc_records(pages), "warc-records")
     path = new_path(spark, "warc")
-    write_warc(pages, path)
-    if (need := levels_for(records)) > levels:
-        raise ValueError(f"a shard needs {need} levels")
+    write_warc(_rotten(pages), path, records.agg(F.count_distinct("shard")).first()[0])
+    levels = max(4, levels_for(records))
     expected = materialize(merkle_tree(records, levels), "warc-tree")
     found = materialize(merkle_tree(read_warc(spark, path), levels), "warc-found")
-    wrong = audit(expected, found, levels).select("shard", "idx", F.lit(False).alias("intact"))
+    wrong = audit(expected, found, levels).where("status <> 'extra'").select("shard", "idx", F.lit(False).alias("intact"))
     roots = expected.where(F.col("level") == levels).select("shard", F.col("hash").alias("shard_root"))
     out = records.join(roots, "shard").join(wrong, ["shard", "idx"], "left")
     return out.select("page_id", "shard", "idx", "start", "stop", F.col("hash").alias("record_sha256"), "shard_root", F.coalesce("intact", F.lit(True)).alias("intact"))
@@ -188,10 +204,12 @@ def _level(n: int) -> str:
 SQL = f"""
 WITH r AS (SELECT page_id, url, html, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
   || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || translate(coalesce(url, ''), chr(13) || chr(10), '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
-  || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS record FROM pages),
-s AS (SELECT *, ('0x' || substr(md5(coalesce(page_id::VARCHAR, '')), 1, 8))::BIGINT % (SELECT greatest(1, ceil(sum(strlen(record) + 4) / 8000000.0))::BIGINT FROM r) AS shard FROM r),
-l0 AS (SELECT page_id, shard, row_number() OVER w - 1 AS idx, (sum(strlen(record) + 4) OVER w)::BIGINT - strlen(record) - 4 AS start, (sum(strlen(record) + 4) OVER w)::BIGINT AS stop, sha256(record) AS hash FROM s
-  WINDOW w AS (PARTITION BY shard ORDER BY page_id, url, html ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS record,
+  md5(coalesce(page_id::VARCHAR, '') || ' ' || coalesce(url, '') || ' ' || coalesce(html, '')) AS digest FROM pages),
+s AS (SELECT *, ('0x' || substr(digest, 1, 8))::BIGINT % (SELECT greatest(1, ceil(sum(strlen(record) + 4) / 8000000.0))::BIGINT FROM r) AS shard FROM r),
+l0 AS (SELECT page_id, shard, row_number() OVER w - 1 AS idx, (sum(strlen(record) + 4) OVER w)::BIGINT - strlen(record) - 4 AS start, (sum(strlen(record) + 4) OVER w)::BIGINT AS stop, sha256(record) AS hash,
+  NOT coalesce(((page_id % 1000) + 1000) % 1000 = 7 AND regexp_matches(html, '^[ -~]'), false) AS intact FROM s
+  WINDOW w AS (PARTITION BY shard ORDER BY page_id NULLS FIRST, url NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 {", ".join(_level(n) for n in range(1, 5))}
-SELECT page_id, shard, l0.idx, l0.start, l0.stop, l0.hash AS record_sha256, l4.hash AS shard_root, true AS intact FROM l0 JOIN l4 USING (shard)
+SELECT page_id, shard, l0.idx, l0.start, l0.stop, l0.hash AS record_sha256, l4.hash AS shard_root, intact FROM l0 JOIN l4 USING (shard)
 """
