@@ -54,3 +54,11 @@ def test_many_sources_below_one_slot(spark):
         for s in range(100):
             due = 1 if s >= 20 else 920 * given[f"s{s:03}"] / sum(given.values())
             assert abs(k[f"s{s:03}"] - due) < 3
+
+
+def test_clashing_names(spark):
+    names = ["k", "_k", "turn", "_order", "_bucket", "_before", "_round", "place", "given", "ns", "ks", "dry", "row", "id", "n"]
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", *[f"concat('{n}', {i}) AS `{n}`" for i, n in enumerate(names)])
+    got = mix_sources(docs, bucket_rows=1).collect()
+    assert len(got) == 200 and sorted(g.position for g in got) == list(range(200))
+    assert all(g[n] == f"{n}{i}" for g in got for i, n in enumerate(names))

@@ -25,7 +25,7 @@ aggregate(
 """
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block: int = 16, period: int = 1000, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", max_sources: int = 10_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block: int = 16, period: int = 1000, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", max_sources: int = 2_000, bucket_rows: int = 100_000) -> DataFrame:
     """Every row of docs with source_key, seq, block, release, deadline, slot, position and on_target.
 
     A source's rows are put in the order of md5(seed + id), then cut into blocks of `block` rows. Its weight is
@@ -40,16 +40,23 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     No row is dropped. A source that has run out leaves its later slots empty; position counts the rows before a row and
     closes those gaps. on_target holds as long as no source has run out, that is before the first empty slot, or in it.
     Null sources are a source of their own. Repeated rows and ids each get their own place. Rows with a null id come with the id text ''.
-    An empty table gives no rows. Columns of docs that have the name of a new column are replaced.
+    An empty table gives no rows. Columns of docs that have the name of a new column are replaced; other names are free. A source is sorted in
+    buckets of about `bucket_rows` rows, however large it is.
     What is broadcast is bounded: period rows, with one count for each of at most `max_sources` sources (more raise ValueError).
     """
     spark = docs.sparkSession
     new = ["source_key", "seq", "block", "release", "deadline", "slot", "position", "on_target"]
-    base = docs.drop(*(set(new) - {id_col, source_col}), "_order", "_bucket", "_before")
-    key = F.when(F.col(source_col).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
-    base = base.withColumn("source_key", key).withColumn("_order", F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))).withColumn("_bucket", F.substring("_order", 1, 2))
+    # the caller's row goes along in one column, so that none of its names can meet one of those below
+    own_id, own_source = F.col("row").getField(id_col), F.col("row").getField(source_col)
+    key = F.when(own_source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), own_source.cast("string")))
+    base = docs.select(F.struct(*docs.columns).alias("row")).select("row", own_id.alias("id"), key.alias("source_key")).withColumn("_order", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))))
 
     # Places within a source, without sorting a source in one task: rows of the buckets before, then a row's place in its bucket.
+    most = base.groupBy("source_key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    digits = 2
+    while most / 16**digits > bucket_rows:
+        digits += 1
+    base = base.withColumn("_bucket", F.substring("_order", 1, digits))
     counts = base.groupBy("source_key", "_bucket").agg(F.count("*").alias("n"))
     counts = materialize(counts.withColumn("_before", F.sum("n").over(Window.partitionBy("source_key").orderBy("_bucket")) - F.col("n")), "mix-counts")
     sources = counts.groupBy("source_key").agg(F.sum("n").alias("n"))
@@ -81,7 +88,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     plan = plan.withColumn("slots", F.expr("if(transform(element_at(slots, -1).given, (g, i) -> g + if(i = element_at(slots, -1).src, 1, 0)) = ks, slots, raise_error('a source lacks slots'))"))
     slots = plan.selectExpr("names", "ns", "ks", "dry", "inline(slots)").selectExpr("names[src] AS source_key", "turn", "slot AS place", "given", "ns", "ks", "dry", "ks[src] AS k")
 
-    own = Window.partitionBy("source_key", "_bucket").orderBy("_order", F.col(id_col))
+    own = Window.partitionBy("source_key", "_bucket").orderBy("_order", "id")
     rows = base.join(counts.select("source_key", "_bucket", "_before"), ["source_key", "_bucket"]).withColumn("seq", F.col("_before") + F.row_number().over(own) - 1)
     rows = rows.withColumn("block", F.expr(f"seq div {block}")).join(F.broadcast(plan.selectExpr("inline(arrays_zip(names, ks))").toDF("source_key", "_k")), "source_key")
     rows = rows.withColumn("turn", F.expr("block % _k")).withColumn("_round", F.expr("block div _k")).join(F.broadcast(slots), ["source_key", "turn"])
@@ -91,7 +98,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         "slot": F.expr(f"_round * {period} + place"),
         "position": F.expr(f"aggregate(zip_with(zip_with(given, ks, (g, k) -> (_round * k + g) * {block}), ns, (x, n) -> least(x, n)), 0L, (a, x) -> a + x) + seq % {block}"),
     }).withColumn("on_target", F.col("slot") <= F.col("dry"))
-    return rows.select(*[c for c in docs.columns if c not in new], *new)
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in new], *new)
 
 
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
