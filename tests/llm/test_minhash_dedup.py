@@ -1,6 +1,6 @@
 import random
 
-from tracklake.llm.minhash_dedup import minhash_dedup
+from tracklake.llm.minhash_dedup import minhash_dedup, op8_minhash
 
 
 def brute(rows, k, percent):
@@ -61,3 +61,10 @@ def test_odd_tables(spark):
     assert len(got) == 7
     assert {(g.doc_id, g.component_id) for g in got} == {(1, 1), (2, 1), (None, None), (3, 1), (4, 1)}
     assert all(g.kept for g in got if g.doc_id in (None, 1))
+
+
+def test_query_against_all_pairs(spark):
+    """The query's own bands and rows, on a supplied table."""
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert {g.doc_id: (g.n_shingles, g.component_id) for g in op8_minhash(spark, sf).collect()} == brute(rows, 3, 85)
