@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklake.functions.lineage import cut, running
+
 #: Of the standard normal distribution, for 95 %.
 Z95 = 1.959963984540054
 
@@ -21,9 +23,8 @@ def stats(value: Column) -> list[Column]:
 
 def level_stats(rows: DataFrame, value: str, a: str, b: str) -> DataFrame:
     """Mean, deviation and count over all, by a, by b and by both, in one pass."""
-    view = f"_levels_{abs(hash((value, a, b)))}"
-    rows.createOrReplaceTempView(view)
-    return rows.sparkSession.sql(f"SELECT {a}, {b}, grouping_id({a}, {b}) AS level, avg({value}) AS mean, stddev_pop({value}) AS std, count({value}) AS n FROM {view} GROUP BY GROUPING SETS ((), ({a}), ({b}), ({a}, {b}))")
+    g = rows.groupingSets([[], [F.col(a)], [F.col(b)], [F.col(a), F.col(b)]], F.col(a), F.col(b))
+    return g.agg(F.grouping_id().alias("level"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
 
 
 def wilson(positive: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
@@ -74,18 +75,23 @@ def average_rank(keys: list[str], order: str) -> Column:
 
 
 def roc_auc(rows: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
-    """Area under the ROC curve of each group from average ranks; null where a class is missing. `positive` is a boolean column."""
-    r = rows.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).withColumn("_r", average_rank(keys, score))
-    a = r.groupBy(*keys).agg(F.count(F.when(F.col(positive), 1)).alias("n1"), F.count(F.when(~F.col(positive), 1)).alias("n0"), F.sum(F.when(F.col(positive), F.col("_r"))).alias("s"))
+    """Area under the ROC curve of each group from average ranks; null where a class is missing. `positive` is a boolean column.
+
+    Ranks come from counts of distinct scores and running sums over ranges of them, so a group isn't sorted in one task.
+    """
+    r = rows.where(F.col(score).isNotNull() & F.col(positive).isNotNull())
+    g = r.groupBy(*keys, score).agg(F.count(F.when(F.col(positive), 1)).alias("_p"), F.count("*").alias("_n"))
+    g = running(g, keys, score, {"_upto": "_n"})
+    rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0
+    a = g.groupBy(*keys).agg(F.sum("_p").alias("n1"), F.sum(F.col("_n") - F.col("_p")).alias("n0"), F.sum(F.col("_p") * rank).alias("s"))
     return a.select(*keys, "n1", "n0", F.when((F.col("n1") > 0) & (F.col("n0") > 0), (F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))).alias("auc"))
 
 
 def average_precision(rows: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
     """Sum of precision times the gain in recall over distinct scores, from the highest."""
     g = rows.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.when(F.col(positive), 1)).alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(score))
-    g = g.withColumns({"tp": F.sum("p").over(w), "all": F.sum("n").over(w), "total": F.sum("p").over(Window.partitionBy(*keys))})
-    return g.groupBy(*keys).agg(F.sum(F.col("p") / F.nullif(F.col("total"), F.lit(0)) * F.col("tp") / F.col("all")).alias("ap"))
+    g = running(g, keys, score, {"tp": "p", "all": "n"}, descending=True)
+    return g.groupBy(*keys).agg((F.sum(F.col("p") * F.col("tp") / F.col("all")) / F.nullif(F.sum("p"), F.lit(0))).alias("ap"))
 
 
 def agreement(rows: DataFrame, keys: list[str], a: str, b: str, least: int = 3) -> DataFrame:
@@ -98,12 +104,23 @@ def agreement(rows: DataFrame, keys: list[str], a: str, b: str, least: int = 3)
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, keys: list[str] | None = None, out: str = "q") -> DataFrame:
-    """Adds q values within the groups of `keys`; a null p ranks as 1 and stays null."""
-    groups, known = keys or [], F.coalesce(F.col(p), F.lit(1.0))
-    w = Window.partitionBy(*groups)
-    r = rows.withColumn("_p", known).withColumn("_rank", F.row_number().over(w.orderBy("_p"))).withColumn("_n", F.count("*").over(w))
-    r = r.withColumn("_q", F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_n") / F.col("_rank")).over(w.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing))))
-    return r.withColumn(out, F.when(F.col(p).isNotNull(), F.col("_q"))).drop("_p", "_rank", "_n", "_q")
+    """Adds q values within the groups of `keys`; a null p ranks as 1 and stays null.
+
+    Equal p values have one q, that of their last rank, so distinct ones with counts are ranked, by running sums over ranges; the least
+    value of later ranks is taken within a range first, then over ranges.
+    """
+    groups = keys or []
+    r = rows.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0)))
+    d = running(r.groupBy(*groups, "_p").agg(F.count("*").alias("_n")), groups, "_p", {"_rank": "_n"})
+    total = d.groupBy(*groups).agg(F.sum("_n").alias("_all"))
+    d = d.join(total, groups) if groups else d.crossJoin(F.broadcast(total))  # one row
+    d = d.withColumn("_v", F.col("_p") * F.col("_all") / F.col("_rank")).repartitionByRange(*groups, "_p").withColumn("_part", F.spark_partition_id())
+    d = cut(d)
+    after = Window.partitionBy(*groups).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    later = d.groupBy(*groups, "_part").agg(F.min("_v").alias("_least")).select(*groups, "_part", F.min("_least").over(after).alias("_later"))
+    own = Window.partitionBy(*groups, "_part").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
+    d = d.withColumn("_own", F.min("_v").over(own)).join(later, [*groups, "_part"]).select(*groups, "_p", F.least(F.lit(1.0), "_own", F.coalesce("_later", F.lit(1.0))).alias("_q"))
+    return r.join(d, [*groups, "_p"]).withColumn(out, F.when(F.col(p).isNotNull(), F.col("_q"))).select(*rows.columns, out)
 
 
 def fallback_threshold(control: DataFrame, value: str, fine: str, coarse: str, q: float = 0.95, least: int = 30) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklake.functions.lineage import if_few
 from tracklake.operators.aggregates import average_precision
 from tracklake.operators.index import hashed_order
 from tracklake.operators.vectors import squared_distance
@@ -84,8 +85,12 @@ def grouped_records(records: DataFrame, dataset: str, marker: str, well: str, fi
     return r.groupBy("name").agg(*firsts, F.array_join(F.array_sort(F.collect_set(well)), ",").alias("wells"), F.count("*").alias("n"))
 
 
-def retrieval_precision(rows: DataFrame, scope: list[str], row: str, label: str, vector: str) -> DataFrame:
-    """Of each row the average precision of ranking the other rows of its scope by distance, equal labels being right; scopes bound the pairs."""
-    b = rows.select(*scope, F.col(row).alias("_other"), F.col(label).alias("_label"), F.col(vector).alias("_v"))
-    pairs = rows.join(b, scope).where(F.col(row) != F.col("_other")).select(row, (-squared_distance(vector, "_v")).alias("score"), (F.col(label) == F.col("_label")).alias("right"))
-    return average_precision(pairs, [row], "score", "right")
+def retrieval_precision(queries: DataFrame, rows: DataFrame, row: str, label: str, vector: str) -> DataFrame:
+    """Of each query the average precision of ranking all other rows by distance, equal labels being right.
+
+    A stated set of queries meets all rows; scores are counted and summed over ranges, so no query's ranking lies in one task.
+    """
+    q = queries.select(F.col(row).alias("_query"), F.col(label).alias("_label"), F.col(vector).alias("_v"))
+    pairs = rows.select(row, label, vector).join(if_few(q), F.col(row) != F.col("_query"))
+    scored = pairs.select(F.col("_query").alias(row), (-squared_distance(vector, "_v")).alias("score"), (F.col(label) == F.col("_label")).alias("right"))
+    return average_precision(scored, [row], "score", "right")

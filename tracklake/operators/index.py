@@ -6,23 +6,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType, IntegerType, ShortType, StringType, StructField, StructType
 
-_S, _I, _F = StringType(), IntegerType(), FloatType()
-#: Fixed column names and types of the index.
+from tracklake.functions.lineage import cut
+
+#: Column names and types of the index.
 CELL_INDEX = StructType([
-    StructField(name, kind)
-    for kind, names in (
-        (_S, "cell_id experiment store_path tracks_path fov well"), (_F, "y x"), (ShortType(), "z"), (_S, "perturbation channel_name"), (_I, "t track_id"),
-        (_S, "global_track_id lineage_id"), (_I, "parent_track_id"), (_F, "hours_post_perturbation interval_minutes"), (_S, "gene_name reporter sgRNA microscope marker organelle"),
-        (_F, "pixel_size_xy_um pixel_size_z_um"), (_I, "T_shape C_shape Z_shape Y_shape X_shape"), (_F, "z_focus_mean norm_mean norm_std norm_median norm_iqr norm_max norm_min"),
-    )
-    for name in names.split()
-])
+    StructField("cell_id", StringType()),
+    StructField("experiment", StringType()),
+    StructField("store_path", StringType()),
+    StructField("tracks_path", StringType()),
+    StructField("fov", StringType()),
+    StructField("well", StringType()),
+    StructField("y", FloatType()),
+    StructField("x", FloatType()),
+    StructField("z", ShortType()),
+    StructField("perturbation", StringType()),
+    StructField("channel_name", StringType()),
+    StructField("t", IntegerType()),
+    StructField("track_id", IntegerType()),
+    StructField("global_track_id", StringType()),
+    StructField("lineage_id", StringType()),
+    StructField("parent_track_id", IntegerType()),
+    StructField("hours_post_perturbation", FloatType()),
+    StructField("interval_minutes", FloatType()),
+    StructField("gene_name", StringType()),
+    StructField("reporter", StringType()),
+    StructField("sgRNA", StringType()),
+    StructField("microscope", StringType()),
+    StructField("marker", StringType()),
+    StructField("organelle", StringType()),
+    StructField("pixel_size_xy_um", FloatType()),
+    StructField("pixel_size_z_um", FloatType()),
+    StructField("T_shape", IntegerType()),
+    StructField("C_shape", IntegerType()),
+    StructField("Z_shape", IntegerType()),
+    StructField("Y_shape", IntegerType()),
+    StructField("X_shape", IntegerType()),
+    StructField("z_focus_mean", FloatType()),
+    StructField("norm_mean", FloatType()),
+    StructField("norm_std", FloatType()),
+    StructField("norm_median", FloatType()),
+    StructField("norm_iqr", FloatType()),
+    StructField("norm_max", FloatType()),
+    StructField("norm_min", FloatType()),
+])
 
 
 def conform(rows: DataFrame, schema: StructType = CELL_INDEX) -> DataFrame:
     """The schema's columns in order, cast; missing ones are null, NaN becomes null."""
     have = set(rows.columns)
-    return rows.select(*[(F.when(~F.isnan(F.col(f.name).cast("double")), F.col(f.name)) if f.dataType == _F and f.name in have else F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    return rows.select(*[(F.when(~F.isnan(F.col(f.name).cast("double")), F.col(f.name)) if f.dataType == FloatType() and f.name in have else F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def problems(rows: DataFrame, required: list[str], key: list[str]) -> DataFrame:
@@ -59,22 +91,31 @@ def roots(nodes: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame
     for _ in range(most):
         next_ = up.alias("a").join(up.select(F.col("n").alias("_n"), F.col("root").alias("_r"), F.col("depth").alias("_d")).alias("b"), F.col("a.root") == F.col("_n"))
         next_ = next_.select("a.n", F.col("_r").alias("root"), (F.col("a.depth") + F.col("_d")).alias("depth"), (F.col("_r") != F.col("a.root")).alias("moved"))
-        next_ = next_.checkpoint() if next_.sparkSession.sparkContext.getCheckpointDir() else next_
+        next_ = cut(next_)
         if next_.where("moved").isEmpty():
             return next_.select(F.col("n").alias(node), "root", "depth")
         up = next_.drop("moved")
     return up.select(F.col("n").alias(node), F.least("n", "root").alias("root"), "depth")
 
 
-def branches(nodes: DataFrame, node: str, parent: str) -> DataFrame:
-    """Each root-to-leaf branch as (leaf, position, node), position 0 the root; shared ancestors come once for each branch."""
-    view = f"_nodes_{node}_{parent}"
-    nodes.select(F.col(node).alias("n"), F.col(parent).alias("p")).createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE walk(leaf, node, up, depth) AS (
-          SELECT n, n, p, 0 FROM {view} WHERE n NOT IN (SELECT p FROM {view} WHERE p IS NOT NULL)
-          UNION ALL SELECT leaf, n, p, depth + 1 FROM walk JOIN {view} ON n = up)
-        SELECT leaf, max(depth) OVER (PARTITION BY leaf) - depth AS position, node FROM walk""")
+def branches(nodes: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame:
+    """Each root-to-leaf branch as (leaf, position, node), position 0 the root; shared ancestors come once for each branch.
+
+    Ancestors are gathered by pointer doubling, so a branch of n nodes takes about log2 n joins. A parent that isn't there ends the branch, and
+    so does a node that is in it already.
+    """
+    n = nodes.select(F.col(node).alias("n"), F.col(parent).alias("p"))
+    leaves = n.join(n.select(F.col("p").alias("n")).distinct(), "n", "left_anti").select("n")
+    up = n.select("n", F.array("n").alias("path"), F.col("p").alias("top"))
+    for _ in range(most):
+        above = up.select(F.col("n").alias("top"), F.col("path").alias("_path"), F.col("top").alias("_top"))
+        up = up.join(above, "top", "left").withColumn("longer", F.array_union("path", F.coalesce("_path", F.array().cast(up.schema["path"].dataType))))
+        whole = F.size("longer") == F.size("path") + F.size("_path")  # else the walk has met itself
+        up = cut(up.select("n", F.col("longer").alias("path"), F.when(whole, F.col("_top")).alias("top")))
+        if up.where("top IS NOT NULL").isEmpty():
+            break
+    out = up.join(leaves, "n", "left_semi").select(F.col("n").alias("leaf"), F.posexplode(F.reverse("path")).alias("position", "node"))
+    return out.select("leaf", "position", "node")
 
 
 def hashed_order(seed: str, *keys: str) -> Column:

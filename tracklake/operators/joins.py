@@ -14,10 +14,16 @@ def enrich(left: DataFrame, right: DataFrame, keys: list[str], order: list[str],
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], row: str, y: str, x: str, value: str, tolerance: float = 4.0) -> DataFrame:
-    """Of the right rows with equal keys, the value of the one nearest by Chebyshev distance, within tolerance, else null; ties take the smaller value. `row` identifies left rows."""
-    r = right.select(*keys, F.col(y).alias("_y"), F.col(x).alias("_x"), F.col(value).alias("_v"))
+    """Of the right rows with equal keys, the value of the one nearest by Chebyshev distance, within tolerance, else null; ties take the smaller value. `row` identifies left rows.
+
+    Both sides are put in squares as wide as the tolerance, and a right row also in the eight around its own, so only near rows meet.
+    """
+    side = tolerance if tolerance > 0 else 1.0
+    square = lambda c, d=0: (F.floor(F.col(c) / side) + d).cast("long")
+    around = F.explode(F.array(*[F.struct(square(y, i).alias("_by"), square(x, j).alias("_bx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    r = right.select(*keys, F.col(y).alias("_y"), F.col(x).alias("_x"), F.col(value).alias("_v"), around.alias("_s")).select(*keys, "_y", "_x", "_v", "_s.*")
     d = F.greatest(F.abs(F.col(y) - F.col("_y")), F.abs(F.col(x) - F.col("_x")))
-    near = left.join(r, keys).withColumn("distance", d).where(F.col("distance") <= tolerance)
+    near = left.withColumns({"_by": square(y), "_bx": square(x)}).join(r, [*keys, "_by", "_bx"]).withColumn("distance", d).where(F.col("distance") <= tolerance)
     best = near.groupBy(row).agg(F.min(F.struct("distance", "_v")).alias("b")).select(row, F.col("b.distance").alias("distance"), F.col("b._v").alias(value))
     return left.join(best, row, "left")
 
@@ -83,8 +89,15 @@ def folded_lookup(rows: DataFrame, lookup: DataFrame, key: str, value: str, out:
 
 
 def alias_match(names: DataFrame, aliases: DataFrame, name: str, alias: str, label: str, order: str) -> DataFrame:
-    """The label of the first alias that a name contains, ignoring case, or null. Aliases are a small table of a bounded registry."""
-    hit = names.select(name).distinct().join(aliases, F.expr(f"contains(lower({name}), lower({alias}))"))
+    """The label of the first alias that a name contains, ignoring case, or null.
+
+    Names are taken apart into their substrings of the lengths that aliases have, which meet the aliases by an equi join.
+    """
+    lengths = [r.n for r in aliases.select(F.length(alias).alias("n")).where("n > 0").distinct().collect()]  # as many as the longest alias has letters
+    substrings = [f"transform(sequence(1, greatest(length({name}) - {n - 1}, 1)), i -> substring(lower({name}), i, {n}))" for n in lengths]
+    part = F.expr(f"flatten(array({', '.join(substrings)}))") if lengths else F.array().cast("array<string>")
+    parts = names.select(name).distinct().select(name, F.explode(F.array_distinct(part)).alias("_part"))
+    hit = parts.join(aliases.withColumn("_part", F.lower(alias)), "_part")
     one = hit.groupBy(name).agg(F.min_by(label, order).alias(label))
     return names.join(one, name, "left")
 

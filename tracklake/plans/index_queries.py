@@ -90,16 +90,16 @@ def baseline_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each part size class, how many of the three nearest vectors in one block of ids share the label."""
-    e = table(spark, sf_dir, "embeddings").withColumn("scope", F.expr("vec_id div 100"))
-    k = vectors.nearest_neighbours(e, e, ["scope"], "vec_id", "embedding", 3)
+    """Of every vector whose id is divisible by 100: how many of its three nearest among all vectors share its label."""
+    e = table(spark, sf_dir, "embeddings")
+    k = vectors.nearest_neighbours(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 3)
     labels = e.select("vec_id", "label")
     j = k.join(labels, "vec_id").join(labels.toDF("neighbour", "n_label"), "neighbour")
-    return rounded(j.groupBy("scope").agg(F.avg((F.col("label") == F.col("n_label")).cast("double")).alias("accuracy"), F.count("*").alias("n")), "accuracy")
+    return rounded(j.groupBy("vec_id").agg(F.avg((F.col("label") == F.col("n_label")).cast("double")).alias("accuracy"), F.count("*").alias("n")), "accuracy")
 
 
 def label_mmd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(vectors.mmd2(table(spark, sf_dir, "embeddings"), "label", 1, 2, "vec_id", "embedding", 64.0, 60, "m1"), "xx", "yy", "xy", "mmd2")
+    return rounded(vectors.mmd2(table(spark, sf_dir, "embeddings"), "label", 1, 2, "vec_id", "embedding"), "bandwidth", "xx", "yy", "xy", "mmd2")
 
 
 def channel_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,10 +166,11 @@ SQL = {
     "vector_steps": f"WITH x AS (SELECT vec_id, label, embedding AS e FROM embeddings), {_STEP.format('x')} SELECT vec_id, label, round({_COS.format('e', 'b')}, 6) AS distance FROM d WHERE b IS NOT NULL",
     "embedding_smoothness": f"WITH {_Z}, {_STEP.format('z')}, c AS (SELECT label, {_COS.format('e', 'b')} AS d FROM d WHERE b IS NOT NULL) SELECT label, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, count(*) AS n FROM c GROUP BY 1",
     "baseline_distances": f"WITH {_COMPONENTS}, m AS (SELECT i, avg(v) AS m FROM u WHERE label = 0 GROUP BY 1), b AS (SELECT list(m ORDER BY i) AS b FROM m) SELECT vec_id, round({_COS.format('embedding', 'b')}, 6) AS distance FROM embeddings, b",
-    "knn_accuracy": """WITH e AS (SELECT *, vec_id // 100 AS scope FROM embeddings), p AS (SELECT a.scope, a.vec_id, a.label, b.label AS n_label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), b.vec_id) AS r
-      FROM e a JOIN e b ON a.scope = b.scope AND a.vec_id <> b.vec_id) SELECT scope, round(avg((label = n_label)::INT), 6) AS accuracy, count(*) AS n FROM p WHERE r <= 3 GROUP BY 1""",
-    "label_mmd": """WITH x AS (SELECT * FROM embeddings WHERE label IN (1, 2) QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('m1|' || vec_id), vec_id) <= 60), k AS (SELECT a.label AS p, b.label AS q, exp(-list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) / 128) AS k FROM x a JOIN x b ON a.vec_id <> b.vec_id),
-      s AS (SELECT avg(k) FILTER (p = 1 AND q = 1) AS xx, avg(k) FILTER (p = 2 AND q = 2) AS yy, avg(k) FILTER (p = 1 AND q = 2) AS xy FROM k) SELECT round(xx, 6) AS xx, round(yy, 6) AS yy, round(xy, 6) AS xy, round(xx + yy - 2 * xy, 6) AS mmd2 FROM s""",
+    "knn_accuracy": """WITH p AS (SELECT a.vec_id, a.label, b.label AS n_label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), b.vec_id) AS r
+      FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) SELECT vec_id, round(avg((label = n_label)::INT), 6) AS accuracy, count(*) AS n FROM p WHERE r <= 3 GROUP BY 1""",
+    "label_mmd": """WITH x AS (SELECT * FROM embeddings WHERE label IN (1, 2)), y AS (SELECT * FROM x ORDER BY md5('h|' || vec_id), vec_id LIMIT 1000),
+      h AS (SELECT median(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))) AS h FROM y a JOIN y b ON a.vec_id < b.vec_id), k AS (SELECT a.label AS p, b.label AS q, exp(-list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) / (2 * h)) AS k FROM x a JOIN x b ON a.vec_id <> b.vec_id, h),
+      s AS (SELECT avg(k) FILTER (p = 1 AND q = 1) AS xx, avg(k) FILTER (p = 2 AND q = 2) AS yy, avg(k) FILTER (p = 1 AND q = 2) AS xy FROM k) SELECT round(h, 6) AS bandwidth, round(xx, 6) AS xx, round(yy, 6) AS yy, round(xy, 6) AS xy, round(xx + yy - 2 * xy, 6) AS mmd2 FROM s, h""",
     "channel_kinds": """WITH p AS (SELECT p_partkey, ['GFP', 'Phase3D', 'virtual stain', 'EX488 EM520', 'other'][p_partkey % 5 + 1] || ' ' || p_brand AS name FROM part)
       SELECT p_partkey, ['fluorescent', 'label_free', 'virtual', 'filter', 'unknown'][p_partkey % 5 + 1] AS kind, regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g') AS slug, left(sha256(name), 12) AS digest FROM p""",
     "url_parts": """WITH p AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '^/+|/+$', '', 'g'), '/') AS s FROM pages) SELECT page_id, s[1] AS row, s[2] AS col, s[3] AS field, len(string_split(url, '/')) AS n_parts FROM p""",

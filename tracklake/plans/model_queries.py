@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklake.functions.lineage import new_path
 from tracklake.operators import alignment, significance, vectors
 from tracklake.plans.common import EVENTS, events, rounded, table
 from tracklake.streaming import tracks as stream
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracklake-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def error_rank_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).withColumn("f", F.col("event_type") == "error")
     return significance.mann_whitney(e, ["user_id"], "value", "f").drop("p")
@@ -41,9 +34,9 @@ def high_value_exact_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_mmd_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each label against the others, within blocks of ids."""
-    e = table(spark, sf_dir, "embeddings").withColumns({"scope": F.expr("vec_id div 250"), "f": F.col("label") < 5})
-    return rounded(significance.mmd_permutation(e, ["scope"], "f", "embedding", "vec_id", most=125, permutations=100), "bandwidth", "mmd2", "p", "z")
+    """The first five labels against the others; the test's own cap is 2000 rows a side."""
+    e = table(spark, sf_dir, "embeddings").withColumns({"scope": F.lit("all"), "f": F.col("label") < 5})
+    return rounded(significance.mmd_permutation(e, ["scope"], "f", "embedding", "vec_id", most=2000, permutations=100), "bandwidth", "mmd2", "p", "z")
 
 
 def dtw_pseudotime(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +56,7 @@ def label_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as a stream to its present end, counted in windows of a day. A stream takes a folder or a pattern, not a file."""
-    schema, out = table(spark, sf_dir, "events").schema, _shared(spark, "windows")
+    schema, out = table(spark, sf_dir, "events").schema, new_path(spark, "windows")
     live = stream.window_counts(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"), "ts", "event_type", "value", "1 day", "30 days")
     q = live.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{out}-state")
     q.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).start().awaitTermination()
