@@ -156,7 +156,7 @@ def _sorter(with_text: bool):
 
 
 _CONTEXT = pa.schema([("key", pa.int64()), ("words", pa.binary()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32())])
-_WINDOW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+_RUN = pa.schema([("ra", pa.int64()), ("rb", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
 
 
 class _Second(WordHashes):
@@ -170,10 +170,10 @@ _second = _Second()
 
 
 def _candidates(least: int, windows: bool):
-    """Runs of windows with a repeated key, with their words; or, windows, the 128-bit digests of the windows of hot keys."""
+    """Runs of windows with a repeated key, with their words; or, windows, runs of hot keys with 128-bit digests of the run and of each window."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _WINDOW if windows else _CONTEXT
+        schema = _RUN if windows else _CONTEXT
         for batch in batches:
             rows, size = [], 0
             for doc_id, tie, text, keys, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -182,11 +182,13 @@ def _candidates(least: int, windows: bool):
                 m = _window_keys(h, least)[1].view(np.int64)
                 chosen = np.isin(m, np.array((hot if windows else keys) or [], np.int64))
                 if windows:
-                    places = np.flatnonzero(chosen)
-                    if len(places):
+                    if chosen.any():
                         a, b = kgram_hashes(h, least).view(np.int64), kgram_hashes(_second.of(words), least).view(np.int64)
-                        rows += [(x, y, doc_id, tie, p, p + least) for x, y, p in zip(a[places].tolist(), b[places].tolist(), places.tolist(), strict=True)]
-                        size += 60 * len(places)
+                        for first, last in _runs(m, chosen):
+                            x, y = a[first : last + 1], b[first : last + 1]
+                            whole = [int.from_bytes(hashlib.blake2b(x.tobytes() + y.tobytes(), digest_size=16).digest()[i : i + 8], "little", signed=True) for i in (0, 8)]
+                            rows.append((*whole, doc_id, tie, first, last + least, x.tolist(), y.tolist()))
+                            size += 60 + 16 * len(x)
                 else:
                     for first, last in _runs(m, chosen):
                         context = b" ".join(words[first : last + least])
@@ -288,8 +290,9 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     share one. Keys that occur once in the corpus are dropped. A run of windows with one key takes its words to that key's
     shard; the shard's suffix automaton, weighted with how often each sequence is there, tells which windows occur twice.
     The corpus is its own reference, so automata would grow with it if they were broadcast: they are built where a shard's text meets.
-    A shard has at most `most_places` runs, whatever the corpus. Windows of keys that stand at more places are counted by digests of two independent 64-bit
-    word hashes, pre-aggregated, and their places are found by a join of the repeated digests (broadcast only if they are counted as few).
+    A shard has at most `most_places` runs, whatever the corpus. Runs of keys that stand at more places are known by digests of two independent 64-bit
+    word hashes: copies of a run are counted as one, and only the windows of different runs are counted, by their digests. Their places are
+    found by joins (the digests are broadcast only if they are counted as few).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("doc_id", "text"))
     anchors = materialize(rows.select("doc_id", "tie", "text").transform(in_batches, _anchors(least), _schema(_ANCHOR)), "substring-anchors")
@@ -303,9 +306,15 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     some = sorted_.where("text IS NOT NULL").select("doc_id", "tie", "text", "keys", "hot")
     contexts = some.where("size(keys) > 0").transform(in_batches, _candidates(least, False), _schema(_CONTEXT)).repartition("key").sortWithinPartitions("key", "words")
     spans = contexts.transform(in_batches, _matcher(least), _schema(_SPAN))
-    windows = materialize(some.where("size(hot) > 0").transform(in_batches, _candidates(least, True), _schema(_WINDOW)), "substring-windows")
-    twice = materialize(windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "substring-twice")
-    spans = spans.union(windows.join(if_few(twice), ["a", "b"]).select("doc_id", "tie", "start", "stop"))
+    runs = materialize(some.where("size(hot) > 0").transform(in_batches, _candidates(least, True), _schema(_RUN)), "substring-runs")
+    # copies of a run are one row from here on; all windows of a run that is there twice are repeated
+    kinds = materialize(runs.groupBy("ra", "rb").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), "substring-kinds")
+    copied = kinds.where("n > 1").select("ra", "rb")
+    spans = spans.union(runs.select("ra", "rb", "doc_id", "tie", "start", "stop").join(if_few(copied), ["ra", "rb"]).select("doc_id", "tie", "start", "stop"))
+    windows = kinds.select("n", F.explode(F.arrays_zip("a", "b")).alias("w")).groupBy("w.a", "w.b").agg(F.sum("n").alias("n"))
+    twice = materialize(windows.where("n > 1").select("a", "b"), "substring-twice")
+    single = runs.join(if_few(copied), ["ra", "rb"], "left_anti").select("doc_id", "tie", "start", F.posexplode(F.arrays_zip("a", "b")).alias("i", "w")).select("doc_id", "tie", (F.col("start") + F.col("i")).alias("start"), "w.a", "w.b")
+    spans = spans.union(single.join(if_few(twice), ["a", "b"]).select("doc_id", "tie", "start", (F.col("start") + least).alias("stop")))
     marks = spans.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).select(F.col("doc_id").alias("s_id"), F.col("tie").alias("s_tie"), "spans")
     cleaned = some.join(marks, (F.col("tie") == F.col("s_tie")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left").select("doc_id", "text", "spans").transform(in_batches, _remover(with_text), _schema(_FINAL))
     return done.union(cleaned).withColumnRenamed("doc_id", id_col)
