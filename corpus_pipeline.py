@@ -20,25 +20,29 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score, learnt from the labelled ones, is below one half."""
+    """Documents whose score, learnt from the labelled ones, is below one half. Null and empty texts are scored without features; an empty table stays empty."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    own = {c: f"documents' {c}" for c in ("score", "predicted") if c in docs.columns}  # the stage's results have these names
+    kept = score_toxicity(docs.withColumnsRenamed(own), model).where("predicted = 0").drop("score", "predicted")
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of documents that are equal but for white space."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    rows = docs.withColumn("_own", F.sha2(normalized(F.col("text")), 256))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
+    """One row of each group of documents that are equal but for white space; null texts count as empty ones, and null ids are ids. An empty table stays empty."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"))
+    # the caller's row goes along in one column, so that its names can't clash
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("own", F.sha2(normalized(F.col("row.text")), 256))
+    rows = rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest")))
     # repeated rows of one id: the longest, as exact_dedup has it
-    first = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy(F.length("text").desc_nulls_last()))
-    return rows.withColumn("_place", first).where("_place = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy("row.doc_id", "own").orderBy(F.length("row.text").desc_nulls_last()))
+    return rows.withColumn("place", first).where("place = 1").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, 80 %."""
-    kept = minhash_dedup(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """One document of each group of near copies: five words, 80 %. Null and empty texts and null ids are near nothing and stay. An empty table stays empty."""
+    kept = minhash_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
