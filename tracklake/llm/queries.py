@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklake.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, pii, substring_dedup, token_files, toxicity, warc
+from tracklake.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, pii, source_divergence, substring_dedup, token_files, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_minhash": minhash_dedup.op8_minhash,
     "op9_warc_audit": warc.op9_warc_audit,
     "op10_token_files": token_files.op10_token_files,
+    "op12_source_divergence": source_divergence.op12_source_divergence,
 }
 
 SQL = {
     "op2_pfair_mix": mixing.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op9_warc_audit": warc.SQL,
+    "op12_source_divergence": source_divergence.SQL,
 }
