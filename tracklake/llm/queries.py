@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklake.llm import best_fit_packing, embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, pii, source_divergence, substring_dedup, token_files, toxicity, warc
+from tracklake.llm import alignment, best_fit_packing, embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, pii, source_divergence, substring_dedup, token_files, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash": minhash_dedup.op8_minhash,
     "op9_warc_audit": warc.op9_warc_audit,
     "op10_token_files": token_files.op10_token_files,
+    "op11_align": alignment.op11_align,
     "op12_source_divergence": source_divergence.op12_source_divergence,
     "op13_best_fit_pack": best_fit_packing.op13_best_fit_pack,
 }
