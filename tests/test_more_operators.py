@@ -5,37 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracklake.operators import alignment, significance
+from tracklake.operators import significance
 from tracklake.sources import tables
 from tracklake.streaming import tracks as stream
 
 
-def test_warping_costs_no_more_than_any_path():
-    r = np.random.default_rng(1)
-    q, t = r.normal(size=(4, 2)), r.normal(size=(3, 2))
-    d = np.sqrt(((q[:, None] - t[None]) ** 2).sum(2))
-
-    def paths(i, j):
-        if (i, j) == (3, 2):
-            yield [(i, j)]
-        for a, b in ((1, 1), (1, 0), (0, 1)):
-            if i + a < 4 and j + b < 3:
-                for p in paths(i + a, j + b):
-                    yield [(i, j), *p]
-
-    best = min(sum(d[p] for p in path) for path in paths(0, 0))
-    cost, path = alignment.warp(q, t)
-    assert sum(d[p] for p in path) == pytest.approx(best) and cost == pytest.approx(best / len(path))
-
-
-def test_alignment_of_tracks(spark):
-    df = spark.createDataFrame([(k, t, [float(t // (k + 1))]) for k in range(2) for t in range(4 * (k + 1))] + [(5, 0, [1.0])], "k long, t int, v array<double>")
-    got = alignment.align(df, ["k"], "t", "v", [[0.0], [1.0], [2.0], [3.0]])
-    rows = got.orderBy("k", "t").collect()
-    assert [r.pseudotime for r in rows if r.k == 0] == pytest.approx([0, 1 / 3, 2 / 3, 1]) and {r.k for r in rows} == {0, 1} and all(r.cost == 0 for r in rows)
-    assert {r.k: r.response for r in alignment.response_groups(got, ["k"]).collect()} == {0: "early", 1: "late"}
-
-
 def test_rank_tests(spark):
     a, b = [1.0, 3.0, 3.0, 7.0, 9.0], [2.0, 3.0, 4.0, 4.0]
     df = spark.createDataFrame([("g", x, True) for x in a] + [("g", x, False) for x in b], "g string, v double, f boolean")

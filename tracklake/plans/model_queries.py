@@ -1,4 +1,4 @@
-"""Queries with tests, alignments and streams; those that SQL can express have it."""
+"""Queries with tests and streams; those that SQL can express have it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklake.functions.lineage import new_path
-from tracklake.operators import alignment, significance, vectors
+from tracklake.operators import significance, vectors
 from tracklake.plans.common import EVENTS, events, rounded, table
 from tracklake.streaming import tracks as stream
 
@@ -39,16 +39,6 @@ def label_mmd_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(significance.mmd_permutation(e, ["scope"], "f", "embedding", "vec_id", most=2000, permutations=100), "bandwidth", "mmd2", "p", "z")
 
 
-def dtw_pseudotime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of each user's mean value and count, aligned with a rising template."""
-    e = events(spark, sf_dir).withColumn("day", F.floor(F.col("hours") / 24).cast("int")).groupBy("user_id", "day").agg(F.array(F.avg("value") / 100, F.count("*") / 10).alias("v"))
-    return rounded(alignment.align(e, ["user_id"], "day", "v", [[i / 9, 0.3] for i in range(10)]), "pseudotime", "cost", "skew")
-
-
-def dtw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(alignment.response_groups(dtw_pseudotime(spark, sf_dir), ["user_id"]), "cost", "speed")
-
-
 def label_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = vectors.mean_vectors(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
     return rounded(c.select("label", F.posexplode("centre").alias("i", "v")), "v")
@@ -63,7 +53,7 @@ def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(out).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total"), "total")
 
 
-QUERIES = {f.__name__: f for f in (error_rank_tests, error_rank_significance, step_signed_ranks, high_value_exact_tests, label_mmd_significance, dtw_pseudotime, dtw_responses, label_centres, streamed_windows)}
+QUERIES = {f.__name__: f for f in (error_rank_tests, error_rank_significance, step_signed_ranks, high_value_exact_tests, label_mmd_significance, label_centres, streamed_windows)}
 
 SQL = {
     "error_rank_tests": f"""WITH {EVENTS}, r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY value) + (count(*) OVER (PARTITION BY user_id, value) - 1) / 2.0 AS r FROM e), g AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS n1, count(*) FILTER (event_type <> 'error') AS n0, sum(r) FILTER (event_type = 'error') AS s FROM r GROUP BY 1)
