@@ -7,10 +7,11 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import starmap
+from itertools import chain, starmap
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,7 +134,13 @@ class Aligner:
             raise ValueError("the second tokenizer has pieces with a space after another character")
         others = "".join(c for c in spaces if c not in breaks)
         self.chunk = re.compile(f"[{_WS}]*[^{_WS}]+" + f"(?:[{others}][{_WS}]*[^{_WS}]*)*" * bool(others) + f"|[{_WS}]+")
+        self.one_word = re.compile(f"[^{_WS}]+")
         self.space = self.b.piece_to_id("▁")
+        a_bytes = self.transducer.bytes[0]
+        self.a_spaced = np.array([t[:1] == b" " for t in a_bytes])
+        # then a's tokens of any text have its bytes
+        self.lossless = self.a.normalizer is None and {bytes([i]) for i in range(256)} <= set(a_bytes)
+        self.a_text, self.b_text = list(map(str, range(len(a_bytes)))), list(map(str, range(len(self.b_pieces))))
         self.forget()
 
     def forget(self) -> None:
@@ -142,53 +149,67 @@ class Aligner:
         self.counts = np.empty((0, 3), np.int64)  # tokens of a and of b, groups; -1 where bytes differ
         self.keys, self.starts = np.empty(0, np.int64), np.zeros(1, np.int64)  # of each chunk's links: a's id times the number of b's ids, plus b's id
 
+    def _a_ids(self, chunks: list[str]) -> list[list[int]]:
+        """a's ids of chunks. Those of a space and a word are encoded in one text: each has one token that starts with a space, its first."""
+        plain = [c[0] == " " and len(c) > 1 and self.one_word.fullmatch(c, 1) is not None for c in chunks]
+        ids = self.a.encode_batch_fast(["".join(c for c, p in zip(chunks, plain, strict=True) if p)], add_special_tokens=False)[0].ids
+        starts = np.flatnonzero(self.a_spaced[np.array(ids, np.int64)]).tolist()
+        inner = map(ids.__getitem__, starmap(slice, zip(starts, [*starts[1:], len(ids)], strict=True)))
+        outer = iter(self.a.encode_batch_fast([c for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False))
+        return [next(inner) if p else next(outer).ids for p in plain]
+
     def _learn(self) -> None:
         fresh, self.known.fresh = self.known.fresh, []
-        counts, keys, n = [], [], len(self.b_pieces)
-        for k in range(0, len(fresh), 2000):
-            some = fresh[k : k + 2000]
-            a_ids = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
+        if not fresh:
+            return
+        counts, keys, n, groups = [], [], len(self.b_pieces), self.transducer.groups
+        a_text, b_text = self.a_text, self.b_text
+        for k in range(0, len(fresh), 4000):
+            some = fresh[k : k + 4000]
             # the second tokenizer adds a space: one is left out where there is one, else its token is dropped
-            b_ids = self.b.encode([c[1:] if c[0] == " " else c for c in some], num_threads=1)
-            for chunk, a, b in zip(some, a_ids, b_ids, strict=True):
+            b_all = self.b.encode([c[1:] if c[0] == " " else c for c in some], num_threads=1)
+            for chunk, a, b in zip(some, self._a_ids(some), b_all, strict=True):
                 b = [self.space] if chunk == " " else b if chunk[0] == " " else b[1:]
-                ends = self.transducer.groups(a, b)
-                if ends is None or self._bytes(a) != chunk.encode():
+                ends = groups(a, b)
+                if ends is None or not self.lossless and b"".join(map(self.transducer.bytes[0].__getitem__, a)) != chunk.encode():
                     counts.append((-1, 0, 0))
-                    keys.append([])
+                    keys.append(())
                     self.strings.append("")
                     continue
                 counts.append((len(a), len(b), len(ends)))
                 keys.append([a[i - 1] * n + b[j - 1] for i, j in ends])
-                if len(ends) == len(a) == len(b):
-                    self.strings.append(";".join(starmap("{}|{}".format, zip(a, b, strict=True))))
-                else:
-                    begins = [(0, 0), *ends[:-1]]
-                    self.strings.append(";".join(f"{','.join(map(str, a[p:i]))}|{','.join(map(str, b[q:j]))}" for (p, q), (i, j) in zip(begins, ends, strict=True)))
-        if fresh:
-            sizes = np.array([len(x) for x in keys])
-            self.counts = np.concatenate([self.counts, np.array(counts, np.int64)])
-            self.keys = np.concatenate([self.keys, np.fromiter((x for k in keys for x in k), np.int64, sizes.sum())])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-
-    def _bytes(self, a: list[int]) -> bytes:
-        return b"".join(map(self.transducer.bytes[0].__getitem__, a))
-
-    def align(self, text: str | None) -> tuple[int, int, int, np.ndarray, str]:
-        """Tokens of a and of b, groups, the links' keys in order, and the groups as text; no tokens for empty texts and where bytes differ."""
-        if text:
-            if len(self.known) > self.bound or self.known.chars > 16 * self.bound:
-                self.forget()
-            chunks = self.chunk.findall(f" {text}")
-            at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-            self._learn()
+                p, q, parts = 0, 0, []
+                for i, j in ends:
+                    own_a = a_text[a[p]] if i - p == 1 else ",".join([a_text[x] for x in a[p:i]])
+                    own_b = b_text[b[q]] if j - q == 1 else ",".join([b_text[x] for x in b[q:j]])
+                    parts.append(f"{own_a}|{own_b}")
+                    p, q = i, j
+                self.strings.append(";".join(parts))
+        sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+        self.counts = np.concatenate([self.counts, np.array(counts, np.int64)])
+        self.keys = np.concatenate([self.keys, np.fromiter(chain.from_iterable(keys), np.int64, sizes.sum())])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+    def align(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, np.ndarray, str]]:
+        """Of each text: tokens of a and of b, groups, the links' keys in order, and the groups as text; no tokens for empty texts and where bytes differ. What
+        is new in the texts is learnt at once."""
+        if len(self.known) > self.bound or self.known.chars > 16 * self.bound:
+            self.forget()
+        number = self.known.__getitem__
+        places = []
+        for text in texts:
+            chunks = self.chunk.findall(f" {text}") if text else []
+            places.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
+        self._learn()
+        for at in places:
             own = self.counts[at]
-            if own[:, 0].min() >= 0:
+            if len(at) and own[:, 0].min() >= 0:
                 n = self.starts[at + 1] - self.starts[at]
                 stop = np.cumsum(n)
                 keys = self.keys[np.arange(stop[-1]) + np.repeat(self.starts[at] - (stop - n), n)]
-                return (*own.sum(axis=0).tolist(), keys, ";".join(map(self.strings.__getitem__, at.tolist())))
-        return 0, 0, 0, np.empty(0, np.int64), ""
+                yield (*own.sum(axis=0).tolist(), keys, ";".join(map(self.strings.__getitem__, at.tolist())))
+            else:
+                yield 0, 0, 0, np.empty(0, np.int64), ""
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -204,6 +225,19 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys binary, times binary"
 
 
+def _in_slices(by: Aligner, texts: pa.Array, chars: int = 500_000) -> Iterator[tuple[int, int, int, np.ndarray, str]]:
+    """Alignments text by text; at most about `chars` characters are taken out of Arrow at a time, or one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
+    i = 0
+    while i < len(texts):
+        j, n = i, 0
+        while j < len(texts) and (j == i or n + sizes[j] <= chars):
+            n += sizes[j]
+            j += 1
+        yield from by.align(texts.slice(i, j - i).to_pylist())
+        i = j
+
+
 def _aligning(a_path: str, b_path: str, with_groups: bool):
     names = [c.split()[0] for c in _ALIGNED.split(", ")]
     types = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.binary()]
@@ -215,8 +249,7 @@ def _aligning(a_path: str, b_path: str, with_groups: bool):
         by = aligner(a_path, b_path)
         for batch in batches:
             rows, held = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n_a, n_b, n_groups, keys, groups = by.align(text.as_py())
+            for doc_id, (n_a, n_b, n_groups, keys, groups) in zip(batch.column(0).to_pylist(), _in_slices(by, batch.column(1)), strict=True):
                 digest = hashlib.sha256(groups.encode()).hexdigest() if n_a else ""
                 own, times = np.unique(keys, return_counts=True)
                 rows.append((doc_id, n_a, n_b, n_groups, len(keys), digest, own.astype("<i8").tobytes(), times.astype("<u4").tobytes(), *[groups] * with_groups))
