@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.functions.lineage import cut, running
+from tracklake.functions.lineage import cut, if_few, running
 
 #: Of the standard normal distribution, for 95 %.
 Z95 = 1.959963984540054
@@ -103,6 +103,18 @@ def agreement(rows: DataFrame, keys: list[str], a: str, b: str, least: int = 3)
     return out.select(*keys, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("pearson", "spearman", "mae", "within_1", "within_2")])
 
 
+def medians(rows: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
+    """The exact median of each group, the mean of both middle values where their number is even; nulls are left out.
+
+    It is found among counts of distinct values by running sums over ranges, so a group may be of any size.
+    """
+    g = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    g = running(g, keys, value, {"_upto": "_n"})
+    total = g.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    g = g.join(if_few(total), keys) if keys else g.crossJoin(F.broadcast(total))  # one row
+    return g.where("2 * _upto >= _all AND 2 * (_upto - _n) <= _all").groupBy(*keys).agg(F.avg(value).alias(out))
+
+
 def benjamini_hochberg(rows: DataFrame, p: str, keys: list[str] | None = None, out: str = "q") -> DataFrame:
     """Adds q values within the groups of `keys`; a null p ranks as 1 and stays null.
 
