@@ -18,7 +18,7 @@ def fixture(spark):
 
 def test_moments_and_correlations(spark):
     x, df = fixture(spark)
-    got = {(r.g, r.i, r.j): r.r for r in scores.correlations(scores.moments(df, "g", "v"), "g").collect()}
+    got = {(r.g, r.i, r.j): r.r for r in scores.correlations(scores.comoments(df, "g", "v"), "g").collect()}
     for g in (0, 1):
         with np.errstate(invalid="ignore"):
             want = np.nan_to_num(np.corrcoef(x[g::2], rowvar=False))
@@ -75,3 +75,24 @@ def test_agreement_of_equal_and_single_clusterings(spark):
     assert [round(v, 9) for v in scores.clustering_agreement(same, "a", "b").first()] == [30, 1, 1]
     one = spark.createDataFrame([(1, 1), (1, 1)], "a int, b int")
     assert list(scores.clustering_agreement(one, "a", "b").first()) == [2, 1.0, 1.0]
+
+
+def test_offsets_cost_no_digits(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(300, 4))
+    x[:, 1] = -x[:, 0]
+    for offset in (1e8, 1e9):
+        df = spark.createDataFrame([(i % 2, (v + offset).tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 4)], "g int, v array<double>").repartition(3)
+        got = {(p.g, p.i, p.j): p.r for p in scores.correlations(scores.comoments(df, "g", "v"), "g").collect()}
+        for g in (0, 1):
+            want = np.corrcoef((x + offset)[g::2] - offset, rowvar=False)
+            assert all(abs(got[g, i, j] - want[i, j]) < 1e-9 and abs(got[g, i, j]) <= 1 for i in range(4) for j in range(i + 1, 4))
+        assert {(p.g, p.component): p.kept for p in scores.uncorrelated(df.where("g IS NOT NULL"), "g", "v").collect()} == {(g, c): c != 1 for g in (0, 1) for c in range(4)}
+        near = scores.frechet_distance(df, "g", 0, 1, "v").first().distance
+        plain = spark.createDataFrame([(i % 2, v.tolist()) for i, v in enumerate((x + offset) - offset)], "g int, v array<double>")
+        assert abs(near - scores.frechet_distance(plain, "g", 0, 1, "v").first().distance) < 1e-6
+
+
+def test_a_lone_component_stays(spark):
+    df = spark.createDataFrame([(1, [float(i)]) for i in range(5)], "g int, v array<double>")
+    assert [tuple(r) for r in scores.uncorrelated(df, "g", "v").collect()] == [(1, 0, True)]

@@ -13,69 +13,98 @@ from pyspark.sql import functions as F
 
 from tracklake.functions.lineage import if_few
 from tracklake.operators.aggregates import roc_auc
+from tracklake.operators.vectors import mean_vectors
 
 
 def moments(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """For each group and pair of components i <= j: n, the sums of both and of their products.
 
     Rows without a vector or with components that aren't finite are left out; all others have one length. A task adds up its
-    own rows and returns d * (d + 1) / 2 sums a group, so no more than that is shuffled.
+    own rows and returns d * (d + 1) / 2 sums a group when it ends, so no more than that is held and shuffled.
     """
     kind = rows.schema[group].dataType
     finite = rows.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < math.inf)))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}  # of each group: n, sums, products
+        type_of = None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            type_of = batch.schema.field(0).type
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             codes = batch.column(0).dictionary_encode(null_encoding="encode")
-            of = codes.indices.to_numpy(zero_copy_only=False)
-            i, j = np.triu_indices(x.shape[1])
+            of, names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
             for c in np.unique(of):
                 m = x[of == c]
-                s, n = m.sum(0), len(i)
-                columns = [codes.dictionary.take(pa.array([c] * n)), i.astype(np.int32), j.astype(np.int32), np.full(n, len(m)), s[i], s[j], (m.T @ m)[i, j]]
-                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns], ["g", "i", "j", "n", "si", "sj", "sij"])
+                n, s, q = sums.get(names[c], (0, 0.0, 0.0))
+                sums[names[c]] = (n + len(m), s + m.sum(0), q + m.T @ m)
+        for name, (n, s, q) in sums.items():
+            i, j = np.triu_indices(len(s))
+            columns = [pa.array([name] * len(i), type_of), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array([n] * len(i), pa.int64()), pa.array(s[i]), pa.array(s[j]), pa.array(q[i, j])]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "i", "j", "n", "si", "sj", "sij"])
 
     schema = f"g {kind.simpleString()}, i int, j int, n long, si double, sj double, sij double"
     parts = finite.select(group, F.col(vector).cast("array<double>")).mapInArrow(add, schema)
     return parts.groupBy("g", "i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "si", "sj", "sij"))).withColumnRenamed("g", group)
 
 
+def comoments(rows: DataFrame, group: str, vector: str) -> DataFrame:
+    """For each group and pair of components i <= j: n, the means mi and mj of both, and cij, the sum of the products of their deviations.
+
+    A first pass takes each group's means (one row a group), a second adds up products of what is left of the vectors, so a common offset, however
+    large, costs no digits. Rows are left out as in `moments`.
+    """
+    finite = rows.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < math.inf))).select(F.col(group).alias("_g"), F.col(vector).cast("array<double>").alias("_v"))
+    # a null group is a group as well, so means are joined null safe
+    centres = mean_vectors(finite, ["_g"], "_v", "_m").withColumnRenamed("_g", "_k")
+    few = if_few(centres)
+    less = finite.join(few, F.col("_g").eqNullSafe(F.col("_k"))).select(F.col("_g").alias(group), F.zip_with("_v", "_m", lambda v, m: v - m).alias("_v"))
+    s = moments(less, group, "_v")
+    mean = lambda k: F.element_at("_m", F.col(k) + 1) + F.col(f"s{k}") / F.col("n")
+    s = s.join(few, F.col(group).eqNullSafe(F.col("_k")))
+    return s.select(group, "i", "j", "n", mean("i").alias("mi"), mean("j").alias("mj"), (F.col("sij") - F.col("si") * F.col("sj") / F.col("n")).alias("cij"))
+
+
 def correlations(sums: DataFrame, group: str) -> DataFrame:
-    """Pearson's r of each pair of different components; 0 where one of them is constant."""
-    n, si, sj = F.col("n"), F.col("si"), F.col("sj")
-    own = sums.where("i = j").select(group, F.col("i").alias("_c"), (F.col("sij") - si * si / n).alias("_v"))
+    """Pearson's r of each pair of different components, from comoments; 0 where one of them is constant."""
+    own = sums.where("i = j").select(group, F.col("i").alias("_c"), F.col("cij").alias("_v"))
     a, b = own.withColumnsRenamed({group: "_ga", "_c": "_ca", "_v": "va"}), own.withColumnsRenamed({group: "_gb", "_c": "_cb", "_v": "vb"})
     pairs = sums.where("i < j").join(a, (F.col(group).eqNullSafe(F.col("_ga"))) & (F.col("i") == F.col("_ca"))).join(b, (F.col(group).eqNullSafe(F.col("_gb"))) & (F.col("j") == F.col("_cb")))
-    r = (F.col("sij") - si * sj / n) / F.sqrt(F.col("va") * F.col("vb"))
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cij") / F.sqrt(F.col("va") * F.col("vb"))))
     return pairs.select(group, "i", "j", F.when((F.col("va") > 1e-12) & (F.col("vb") > 1e-12), r).otherwise(0.0).alias("r"))
 
 
 def uncorrelated(rows: DataFrame, group: str, vector: str, threshold: float = 0.9) -> DataFrame:
-    """For each group and component, kept: from the strongest pair over the threshold down, the component goes that has the larger sum of |r| to those still there; the later one on a tie."""
-    pairs = correlations(moments(rows, group, vector), group)
+    """For each group and component, kept: from the strongest pair over the threshold down, the component goes that has the larger sum of |r| to those still there; the later one on a tie.
+    A lone component stays."""
+    sums = comoments(rows, group, vector)
     kind = rows.schema[group].dataType.simpleString()
 
     def prune(p: pd.DataFrame) -> pd.DataFrame:
-        d = int(p["j"].max()) + 1
-        r, kept = np.zeros((d, d)), np.ones(d, bool)
-        r[p["i"], p["j"]] = r[p["j"], p["i"]] = p["r"].abs()
-        strong = p.assign(a=p["r"].abs())[p["r"].abs() > threshold].sort_values(["a", "i", "j"], ascending=[False, True, True])
-        for i, j in zip(strong["i"], strong["j"], strict=True):
+        c = _square(p, "cij")
+        d, v = len(c), np.diag(c)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = np.where((v[:, None] > 1e-12) & (v > 1e-12), np.abs(c / np.sqrt(v[:, None] * v)), 0.0)
+        np.fill_diagonal(r, 0)
+        kept = np.ones(d, bool)
+        i, j = np.triu_indices(d, 1)
+        order = np.lexsort((j, i, -r[i, j]))
+        for i, j in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            if r[i, j] <= threshold:
+                break
             if kept[i] and kept[j]:
                 a, b = r[i, kept].sum(), r[j, kept].sum()
                 kept[j if abs(a - b) <= 1e-8 + 1e-5 * abs(b) or b > a else i] = False
         return pd.DataFrame({group: [p[group].iloc[0]] * d, "component": np.arange(d), "kept": kept})
 
-    return pairs.groupBy(group).applyInPandas(prune, f"{group} {kind}, component int, kept boolean")  # d * (d - 1) / 2 rows a group
+    return sums.groupBy(group).applyInPandas(prune, f"{group} {kind}, component int, kept boolean")  # d * (d + 1) / 2 rows a group
 
 
-def _square(p: pd.DataFrame) -> np.ndarray:
+def _square(p: pd.DataFrame, value: str = "sij") -> np.ndarray:
     d = int(p["j"].max()) + 1
     m = np.zeros((d, d))
-    m[p["i"], p["j"]] = m[p["j"], p["i"]] = p["sij"]
+    m[p["i"], p["j"]] = m[p["j"], p["i"]] = p[value]
     return m
 
 
@@ -95,7 +124,7 @@ def effective_rank(rows: DataFrame, group: str, vector: str) -> DataFrame:
 
 def frechet_distance(rows: DataFrame, group: str, a: str | int, b: str | int, vector: str) -> DataFrame:
     """One row: Frechet distance of the normal distributions of two groups; null if one has fewer than two rows."""
-    sums = moments(rows.where(F.col(group).isin(a, b)), group, vector).withColumn("_k", F.lit(1))
+    sums = comoments(rows.where(F.col(group).isin(a, b)), group, vector).withColumn("_one", F.lit(1))
 
     def distance(p: pd.DataFrame) -> pd.DataFrame:
         mean, cov = [], []
@@ -104,12 +133,12 @@ def frechet_distance(rows: DataFrame, group: str, a: str | int, b: str | int, ve
             if q.empty or q["n"].iloc[0] < 2:
                 return pd.DataFrame({"distance": pd.Series([None], dtype="float64")})
             n, own = int(q["n"].iloc[0]), q[q["i"] == q["j"]].sort_values("i")
-            mean.append(own["si"].to_numpy() / n)
-            cov.append((_square(q) - n * np.outer(mean[-1], mean[-1])) / (n - 1))
+            mean.append(own["mi"].to_numpy())
+            cov.append(_square(q, "cij") / (n - 1))
         root = np.sqrt(np.maximum(np.linalg.eigvals(cov[0] @ cov[1]).real, 0)).sum()
         return pd.DataFrame({"distance": [float(((mean[0] - mean[1]) ** 2).sum() + np.trace(cov[0]) + np.trace(cov[1]) - 2 * root)]})
 
-    return sums.groupBy("_k").applyInPandas(distance, "distance double")  # d * (d + 1) rows
+    return sums.groupBy("_one").applyInPandas(distance, "distance double")  # d * (d + 1) rows
 
 
 def zscored_sides(values: DataFrame, keys: list[str], component: str, predicted: str, truth: str) -> DataFrame:
