@@ -68,10 +68,15 @@ def onset_and_peak(curve: DataFrame, keys: list[str], time: str, value: str, n:
     )
 
 
-def average_rank(keys: list[str], order: str) -> Column:
-    """Ranks in which ties share their mean."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(order)) + (F.count("*").over(Window.partitionBy(*keys, order)) - 1) / 2.0
+def ranked(rows: DataFrame, keys: list[str], value: str, out: str, ties: str | None = None) -> DataFrame:
+    """Rows with the rank of their value in the group, ties sharing their mean rank, and how many share it; rows with a null value or key are left out.
+
+    Ranks come from counts of distinct values and running sums over ranges of them, so a group isn't sorted in one task.
+    """
+    g = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_many"))
+    g = running(g, keys, value, {"_upto": "_many"}).withColumn(out, F.col("_upto") - (F.col("_many") - 1) / 2.0)
+    g = g.select(*keys, value, out, *([F.col("_many").alias(ties)] if ties else []))
+    return rows.join(g, [*keys, value])
 
 
 def roc_auc(rows: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
@@ -97,7 +102,7 @@ def average_precision(rows: DataFrame, keys: list[str], score: str, positive: st
 def agreement(rows: DataFrame, keys: list[str], a: str, b: str, least: int = 3) -> DataFrame:
     """Of each group: n, Pearson, Spearman, mean absolute error, shares within 1 and 2; null below `least` pairs."""
     r = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    r = r.withColumns({"_ra": average_rank(keys, a), "_rb": average_rank(keys, b)})
+    r = ranked(ranked(r, keys, a, "_ra"), keys, b, "_rb")
     gap = F.abs(F.col(a) - F.col(b))
     out = r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("pearson"), F.corr("_ra", "_rb").alias("spearman"), F.avg(gap).alias("mae"), F.avg((gap <= 1).cast("double")).alias("within_1"), F.avg((gap <= 2).cast("double")).alias("within_2"))
     return out.select(*keys, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("pearson", "spearman", "mae", "within_1", "within_2")])

@@ -59,7 +59,8 @@ def near_constant(rows: DataFrame, columns: list[str], frequency_cut: float = 0.
     """Of each column: second over first value frequency, distinct share, and whether the column should go."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("s")).select("s.*")
     counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    top = counts.withColumns({"r": F.row_number().over(w), "all": F.sum("n").over(Window.partitionBy("column"))})
-    out = top.groupBy("column").agg((F.coalesce(F.max(F.when(F.col("r") == 2, F.col("n"))), F.lit(0)) / F.max(F.when(F.col("r") == 1, F.col("n")))).alias("ratio"), (F.count("*") / F.max("all")).alias("distinct_share"))
+    # the two most frequent values by aggregation: a column has any number of values
+    first = counts.groupBy("column").agg(F.max(F.struct("n", "value")).alias("_f"), F.sum("n").alias("_all"), F.count("*").alias("_values"))
+    rest = counts.join(F.broadcast(first.select("column", "_f")), "column").where(~F.col("value").eqNullSafe(F.col("_f.value"))).groupBy("column").agg(F.max("n").alias("_second"))
+    out = first.join(rest, "column", "left").select("column", (F.coalesce("_second", F.lit(0)) / F.col("_f.n")).alias("ratio"), (F.col("_values") / F.col("_all")).alias("distinct_share"))
     return out.withColumn("drop", (F.col("ratio") < frequency_cut) | (F.col("distinct_share") < unique_cut))

@@ -7,11 +7,11 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tracklake.operators.aggregates import average_rank
+from tracklake.operators.aggregates import ranked
 
 
 @F.pandas_udf(DoubleType())
@@ -34,7 +34,7 @@ def _fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> p
 
 def mann_whitney(rows: DataFrame, keys: list[str], value: str, first: str) -> DataFrame:
     """Of each group: n1, n0, U of the rows where `first` holds, and its two-sided p by the normal approximation with ties and continuity."""
-    r = rows.where(F.col(value).isNotNull()).withColumn("_r", average_rank(keys, value)).withColumn("_t", F.count("*").over(Window.partitionBy(*keys, value)))
+    r = ranked(rows, keys, value, "_r", "_t")
     a = r.groupBy(*keys).agg(F.count(F.when(F.col(first), 1)).alias("n1"), F.count(F.when(~F.col(first), 1)).alias("n0"), F.sum(F.when(F.col(first), F.col("_r"))).alias("s"), F.sum(F.col("_t") * F.col("_t") - 1).cast("double").alias("ties"))
     n = (F.col("n1") + F.col("n0")).cast("double")
     u, mean = F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0") / 2
@@ -46,7 +46,7 @@ def mann_whitney(rows: DataFrame, keys: list[str], value: str, first: str) -> Da
 def wilcoxon(rows: DataFrame, keys: list[str], difference: str) -> DataFrame:
     """Signed-rank test of each group: n without zeros, W of the positive differences, two-sided p by the normal approximation with ties."""
     r = rows.where(F.col(difference).isNotNull() & (F.col(difference) != 0)).withColumn("_a", F.abs(difference))
-    r = r.withColumn("_r", average_rank(keys, "_a")).withColumn("_t", F.count("*").over(Window.partitionBy(*keys, "_a")))
+    r = ranked(r, keys, "_a", "_r", "_t")
     a = r.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("_r")).otherwise(0.0)).alias("w"), F.sum(F.col("_t") * F.col("_t") - 1).cast("double").alias("ties"))
     n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)

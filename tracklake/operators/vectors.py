@@ -39,8 +39,9 @@ def component_stats(rows: DataFrame, vector: str) -> DataFrame:
 
 
 def standardised(rows: DataFrame, vector: str, unit: bool = False) -> DataFrame:
-    """Vectors as z scores of their components, and if asked of length 1. The statistics are one row."""
-    s = component_stats(rows, vector).agg(F.array_sort(F.collect_list(F.struct("i", "mean", "std"))).alias("_s"))
+    """Vectors as z scores of their components, and if asked of length 1. The statistics are one row, of sums that each task makes for itself."""
+    e = rows.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("mean"), F.stddev_pop(F.col("v").cast("double")).alias("std"))
+    s = e.withColumn("std", F.when(F.col("std") < 1e-10, 1.0).otherwise(F.col("std"))).agg(F.array_sort(F.collect_list(F.struct("i", "mean", "std"))).alias("_s"))
     z = F.zip_with(vector, "_s", lambda v, s_: (v - s_["mean"]) / s_["std"])
     out = rows.crossJoin(F.broadcast(s)).withColumn(vector, z).drop("_s")
     return out.withColumn("_n", norm(vector)).withColumn(vector, F.transform(vector, lambda v: v / F.greatest("_n", F.lit(1e-12)))).drop("_n") if unit else out

@@ -87,6 +87,9 @@ def _mmd_sql(rows: str, scope: str, permutations: int) -> str:
 
 
 SQL = {
+    "high_value_exact_tests": f"""WITH {EVENTS}, c AS (SELECT user_id, count(*) FILTER (event_type = 'error' AND value > 50) AS a, count(*) FILTER (event_type = 'error' AND value <= 50) AS b, count(*) FILTER (event_type <> 'error' AND value > 50) AS c, count(*) FILTER (event_type <> 'error' AND value <= 50) AS d FROM e GROUP BY 1),
+      k AS (SELECT *, unnest(range(a, least(a + b, a + c) + 1)) AS k FROM c), l AS (SELECT user_id, a, b, c, d, sum(exp(lgamma(a + b + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) + lgamma(c + d + 1) - lgamma(a + c - k + 1) - lgamma(c + d - a - c + k + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1))) AS p FROM k GROUP BY ALL)
+      SELECT user_id, a, b, c, d, round(least(1, p), 6) AS p FROM l""",
     "label_mmd_significance": _mmd_sql("x AS (SELECT 'low-high' AS comparison, vec_id AS id, label < 5 AS first, embedding::DOUBLE[] AS e FROM embeddings)", "", 50),
     "mmd_drivers": _mmd_sql("""a AS (SELECT vec_id, vec_id % 2 AS half, label % 3 AS kind, CASE WHEN vec_id % 50 < 20 THEN 0.0 ELSE 20.0 END::DOUBLE AS bin, vec_id % 50 AS hours, embedding::DOUBLE[] AS e FROM embeddings),
       u AS (SELECT vec_id, half, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM a), c AS (SELECT half, i, avg(v) AS c FROM u GROUP BY 1, 2), y AS (SELECT vec_id, list(v - c ORDER BY i) AS e FROM u JOIN c USING (half, i) GROUP BY 1),

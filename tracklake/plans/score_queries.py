@@ -79,10 +79,10 @@ def alignment_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resampled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of a label as a template over their ids, every 25 ids; the first component of each."""
-    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").cast("double").alias("at"), F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("v"))
+    """Vectors of a label as a template over their ids, every 25 ids: all components."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").cast("double").alias("at"), F.col("embedding").cast("array<double>").alias("v"))
     r = scores.resampled_template(e, "label", "at", "v", 25.0)
-    return rounded(r.select("label", "step", "time", F.get("v", F.lit(0)).alias("x0")), "time", "x0", digits=4)
+    return rounded(r.select("label", "step", "time", F.posexplode("v").alias("i", "x")), "time", "x", digits=4)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -110,9 +110,10 @@ SQL = {
       SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, round(bias + w * l_quantity, 2) AS prediction FROM lineitem LEFT JOIN m USING (l_returnflag)""",
     "first_brands": "SELECT p_partkey, p_brand FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL ORDER BY 1 LIMIT 3)",
     "alignment_queries": f"WITH {EVENTS} SELECT event_id, user_id, t, event_type FROM e WHERE event_type <> 'error' QUALIFY count(*) OVER (PARTITION BY user_id) >= 8",
-    "resampled_labels": """WITH e AS (SELECT label, vec_id::DOUBLE AS pos, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings), s AS (SELECT label, min(pos) AS lo, max(pos) AS hi, round((max(pos) - min(pos)) / 25)::INT AS n FROM e GROUP BY 1),
+    "resampled_labels": """WITH e AS (SELECT label, vec_id::DOUBLE AS pos, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT label, min(pos) AS lo, max(pos) AS hi, round((max(pos) - min(pos)) / 25)::INT AS n FROM e GROUP BY 1),
       g AS (SELECT label, n, unnest(range(0, n + 1))::INT AS step, lo, hi FROM s WHERE n >= 1), t AS (SELECT label, step, CASE WHEN step = n THEN hi ELSE lo + step * ((hi - lo) / n) END AS time FROM g),
-      l AS (SELECT *, lead(pos) OVER w AS pos2, lead(a) OVER w AS a2, lead(b) OVER w AS b2, lead(c) OVER w AS c2, max(pos) OVER (PARTITION BY label) AS top FROM e WINDOW w AS (PARTITION BY label ORDER BY pos)),
-      x AS (SELECT label, step, time, a + (a2 - a) * (time - pos) / (pos2 - pos) AS x, b + (b2 - b) * (time - pos) / (pos2 - pos) AS y, c + (c2 - c) * (time - pos) / (pos2 - pos) AS z FROM t JOIN l USING (label) WHERE pos2 IS NOT NULL AND time >= pos AND (time < pos2 OR (time = pos2 AND pos2 = top)))
-      SELECT label, step, round(time, 4) AS time, round(x / greatest(sqrt(x * x + y * y + z * z), 1e-12), 4) AS x0 FROM x""",
+      l AS (SELECT *, lead(pos) OVER w AS pos2, lead(v) OVER w AS v2, max(pos) OVER (PARTITION BY label) AS top FROM e WINDOW w AS (PARTITION BY label ORDER BY pos)),
+      x AS (SELECT label, step, time, (time - pos) / (pos2 - pos) AS share, unnest(v) AS a, unnest(v2) AS b, unnest(range(len(v))) AS i FROM t JOIN l USING (label) WHERE pos2 IS NOT NULL AND time >= pos AND (time < pos2 OR (time = pos2 AND pos2 = top))),
+      y AS (SELECT label, step, time, i, a + (b - a) * share AS x FROM x), n AS (SELECT label, step, greatest(sqrt(sum(x * x)), 1e-12) AS n FROM y GROUP BY 1, 2)
+      SELECT label, step, round(time, 4) AS time, i::INT AS i, round(x / n, 4) AS x FROM y JOIN n USING (label, step)""",
 }
