@@ -98,3 +98,16 @@ def test_first_fit_takes_the_first_bin_with_room():
         place = next(i for i, x in enumerate(room) if x >= n)
         assert tree.first_fit(n) == place
         room[place] -= n
+
+
+def test_copies_of_one_row_go_to_many_groups(spark):
+    rows = [(None, "boiler plate of many rows")] * 4000 + [(i, f"own {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = packing.pack_documents(docs, WORD, capacity=256, group_chars=20_000).collect()
+    per = {}
+    for g in got:
+        per[g.sequence_id >> 20] = per.get(g.sequence_id >> 20, 0) + g.length
+    n = sum(per.values())
+    one = len(Tokenizer.from_file(WORD).encode("boiler plate of many rows", add_special_tokens=False).ids) + 1
+    assert sum(g.length for g in got if g.doc_id is None) == 4000 * one and len(got) >= len(rows)
+    assert len(per) > 8 and max(per.values()) < 2 * n / len(per)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import in_batches, table
+from tracklake.llm.common import in_batches, materialize, table
 from tracklake.llm.tokens import encode_slices
 
 
@@ -134,17 +134,25 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     A sequence id is the group's number times 2 ** 20 plus a count.
 
     Null and empty texts have one id, the end. A text longer than a sequence is cut. Rows with equal or null ids are
-    packed one by one like others. An empty table gives no pieces. Other columns aren't read, so names can't clash.
+    packed one by one like others; where copies of one row alone would fill a group, all rows are dealt by numbers instead, which are kept with the ids in a written table.
+    An empty table gives no pieces. Other columns aren't read, so names can't clash.
     A group is the most that a task holds: about `group_chars` characters, or one longer text.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    doc_id, schema, copies = F.col(id_col).cast("long").alias("doc_id"), "group long, doc_id long, ids binary", False
     if group_col:
         group = F.coalesce(F.col(group_col).cast("long"), F.lit(0))
     else:
-        total = docs.agg(F.coalesce(F.sum(F.coalesce(F.length(text_col), F.lit(0)).cast("long") + 16), F.lit(0))).first()[0]
-        group = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(max(1, -(-total // group_chars)))).cast("long")
-    rows = docs.select(group.alias("group"), F.col(id_col).cast("long").alias("doc_id"), text)
-    encoded = rows.transform(in_batches, _encoder(tokenizer_path, end), "group long, doc_id long, ids binary")
+        h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+        sizes = docs.select(h.alias("h"), (F.coalesce(F.length(text_col), F.lit(0)).cast("long") + 16).alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+        total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max(F.when(F.col("rows") > 1, F.col("n")))).first()
+        groups, copies = F.lit(max(1, -(-total // group_chars))), (most or 0) > group_chars
+        group = F.monotonically_increasing_id() if copies else F.pmod(h, groups).cast("long")
+    rows = docs.select(group.alias("group"), doc_id, text)
+    encoded = rows.transform(in_batches, _encoder(tokenizer_path, end), schema)
+    if copies:
+        # rows that are alike are told apart by numbers, which are written down before anything depends on them
+        encoded = materialize(encoded, "pack-copies").withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "group"), groups).cast("long"))
     return encoded.groupBy("group").applyInArrow(_pack_group(capacity, with_ids), _PIECES + ", ids binary" * with_ids)
 
 
