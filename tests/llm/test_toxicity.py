@@ -108,3 +108,16 @@ def test_logistic_regression_reaches_the_optimum():
         dense[i, v] = scale[v]
     e = weight * (1 / (1 + np.exp(-(dense @ (w / scale) + bias))) - y) / weight.sum()
     assert abs(dense.T @ e + 0.01 * w / scale).max() < 1e-5 and abs(e.sum()) < 1e-5
+
+
+def test_a_repeated_id_teaches_once(spark):
+    from pyspark.sql import functions as F
+
+    rows = list(texts(200))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    copies = [(3, f"{rows[3][1]} v{k}") for k in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows if i != 3] + copies, "doc_id long, text string")
+    least = spark.createDataFrame(copies, "doc_id long, text string").orderBy(F.xxhash64("text")).first().text
+    once = spark.createDataFrame([(i, least if i == 3 else t) for i, t, _ in rows], "doc_id long, text string")
+    a, b = fit_toxicity(docs.repartition(5), labels), fit_toxicity(once, labels)
+    assert a.bias == b.bias and np.array_equal(a.weights, b.weights)

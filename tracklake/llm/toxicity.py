@@ -122,9 +122,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     least `least` documents, enter the regression; the rest weigh nothing. Documents are weighted so that the labels have
     their shares of all labelled rows. Scores that each half of the sample gets from the other set slope and bias.
 
-    Null labels, labels but 0 and 1, and labels whose document is missing teach nothing; a document that is labelled twice counts with its highest label, and repeated rows of a labelled
-    document count as documents each. Null texts are
-    empty ones. Without a label of either kind the score is the share of label 1 (one half if there are none).
+    Null labels, labels but 0 and 1, and labels whose document is missing teach nothing; a document that is labelled twice counts with its highest label, and of repeated rows of a labelled
+    id one teaches, that whose text has the least hash. Null texts are empty ones. Without a label of either kind the score is the share of label 1 (one half if there are none).
     To the driver come the n-gram counts (at most 2 ** bits rows) and the sample's vectors, both bounded.
     """
     spark = docs.sparkSession
@@ -135,7 +134,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return Model(sizes, bits, np.zeros(1 << bits, np.float32), float(np.log((n1 + 1e-9) / (n0 + 1e-9))))
     order = F.xxhash64("id", F.lit("fit"))
     sample = marked.where("label = 0").orderBy(order, "id").limit(per_class).union(marked.where("label = 1").orderBy(order, "id").limit(per_class))
-    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text", "id")
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+    # one text an id, so that what reaches the driver is bounded by the ids, however often an id is repeated
+    known = known.groupBy("label", "id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("label", "text", "id")
     known = materialize(known, "toxicity-known")  # documents are read once for the fit
     there = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     in0, in1 = there.get(0, 0), there.get(1, 0)
