@@ -166,3 +166,25 @@ def encode_labels(rows: DataFrame, label: str, out: str = "code") -> DataFrame:
     """Labels as their places among the sorted distinct ones, from 0; null stays null. Labels are few and broadcast only if Spark finds them small."""
     codes = rows.where(F.col(label).isNotNull()).select(label).distinct().withColumn(out, F.row_number().over(Window.orderBy(label)) - 1)
     return rows.join(codes, label, "left")
+
+
+def tau_frames(intervals: DataFrame, interval: str, low_hours: float, high_hours: float) -> DataFrame:
+    """Ranges of offsets in frames for intervals in minutes: hours are rounded to frames, halves to even; usable says whether the range has more than one offset."""
+    frames = lambda hours: F.bround(F.lit(hours * 60.0) / F.col(interval)).cast("int")
+    return intervals.withColumns({"tau_low": frames(low_hours), "tau_high": frames(high_hours)}).withColumn("usable", F.col("tau_low") < F.col("tau_high"))
+
+
+def lineage_capped(rows: DataFrame, store: str, lineage: str, most: int, seed: str) -> DataFrame:
+    """All rows of at most `most` lineages of each store, by hashed order; rows without a lineage are left out."""
+    held = rows.where(F.col(lineage).isNotNull()).select(store, lineage).distinct()
+    place = F.row_number().over(Window.partitionBy(store).orderBy(hashed_order(seed, store, lineage), lineage))  # a row for each lineage, no more than `most` of a task go on
+    return rows.join(held.withColumn("_place", place).where(F.col("_place") <= most).drop("_place"), [store, lineage], "left_semi")
+
+
+def subset_with_anchors(rows: DataFrame, keep: DataFrame, track: list[str], t: str, taus: tuple[int, int], anchors: DataFrame | None = None) -> DataFrame:
+    """The rows of the kept tracks, with anchor: whether a row is among given anchors (track and t), or, without these, whether its track goes on at an offset within taus."""
+    own = rows.join(keep.select(*track).distinct(), track, "left_semi")
+    if anchors is None:
+        later = own.select(*track, F.explode(F.sequence(F.lit(taus[0]), F.lit(taus[1]))).alias("_d"), F.col(t).alias("_t"))
+        anchors = later.select(*track, (F.col("_t") - F.col("_d")).alias(t))
+    return own.join(anchors.select(*track, t).distinct().withColumn("anchor", F.lit(True)), [*track, t], "left").withColumn("anchor", F.coalesce("anchor", F.lit(False)))

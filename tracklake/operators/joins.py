@@ -139,3 +139,15 @@ def matches_any(column: str, patterns: list[str]) -> Column:
     for p in patterns:
         found = found | F.contains(F.col(column), F.lit(p))
     return found
+
+
+def annotated_by_first_keys(rows: DataFrame, labels: DataFrame, key_sets: list[list[str]], columns: list[str], path: str | None = None) -> DataFrame:
+    """Rows with columns of the labels, joined by the first set of keys that both tables have; leading slashes of the path column are taken off on both sides. Of labels
+    with the same keys one counts, that which sorts first. Raises ValueError if no set fits."""
+    keys = next((k for k in key_sets if set(k) <= set(rows.columns) & set(labels.columns)), None)
+    if keys is None:
+        raise ValueError(f"no set of keys is in both tables: {key_sets}")
+    if path:
+        rows, labels = (d.withColumn(path, F.regexp_replace(path, "^/+", "")) if path in d.columns else d for d in (rows, labels))
+    first = labels.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_l")).select(*keys, *[F.col(f"_l.{c}").alias(c) for c in columns])
+    return rows.drop(*columns).join(first, keys, "left")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions.lineage import if_few
-from tracklake.operators.aggregates import roc_auc
+from tracklake.operators.aggregates import medians, roc_auc
 from tracklake.operators.vectors import mean_vectors
 
 
@@ -239,3 +239,22 @@ def resampled_template(rows: DataFrame, key: str, time: str, vector: str, interv
     s = s.withColumn("_x", F.zip_with("_v", "_v2", lambda p, q: p + (q - p) * F.col("_f")))
     size = F.greatest(F.sqrt(F.aggregate("_x", F.lit(0.0), lambda u, x: u + x * x)), F.lit(1e-12))
     return s.withColumn("_l", size).select(key, "step", "time", F.transform("_x", lambda x: x / F.col("_l")).alias(vector))
+
+
+def onset_spread(rows: DataFrame, group: str, track: list[str], value: str, threshold: str, clocks: dict[str, str]) -> DataFrame:
+    """For each group and clock (name -> column): tracks with an onset, the median over them of the first time above the threshold, and the distance between its quartiles."""
+    first = rows.groupBy(group, *track).agg(*[F.min(F.when(F.col(value) > F.col(threshold), F.col(c))).cast("double").alias(n) for n, c in clocks.items()])
+    long = first.select(group, F.inline(F.array(*[F.struct(F.lit(n).alias("clock"), F.col(n).alias("onset")) for n in clocks])))
+    q = F.percentile("onset", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return long.groupBy(group, "clock").agg(F.count("onset").alias("n"), q[1].alias("median"), (q[2] - q[0]).alias("spread"))
+
+
+def finite_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Median, and number, of the finite values of each key; null without one. Keys without finite values stay."""
+    x = rows.select(*keys, F.when(F.abs(value) < math.inf, F.col(value).cast("double")).alias("_x"))
+    return x.groupBy(*keys).agg(F.count("_x").alias("n")).join(medians(x, keys, "_x"), keys, "left")
+
+
+def metric_means(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Of each group: n and the mean of each metric over its given, finite values."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(F.when(F.abs(m) < math.inf, F.col(m))).alias(m) for m in metrics])

@@ -140,3 +140,29 @@ def timing(rows: DataFrame, keys: list[str], t: str, positive: Column, default_i
     s = rows.withColumn("dt", F.col(t) - F.lag(t).over(w)).withColumn("p", F.coalesce(positive, F.lit(False)))
     a = s.groupBy(*keys).agg(F.min(F.when(F.col("p"), F.col(t))).alias("onset"), F.max(F.when(F.col("p"), F.col(t))).alias("last"), F.count(F.when(F.col("p"), 1)).alias("n"), F.coalesce(F.mode("dt", True).cast("double"), F.lit(default_interval)).alias("interval"))
     return a.where("n > 0").select(*keys, "onset", "interval", (F.col("n") * F.col("interval")).alias("total"), (F.col("last") - F.col("onset") + F.col("interval")).alias("span"))
+
+
+def feature_bundle(rows: DataFrame, keys: list[str], t: str, x: str, y: str) -> DataFrame:
+    """Of each track all motion features in one row: those of `displacement` and `angular_velocity`, and least and greatest speed. Tracks of one row have zeros."""
+    s = steps(rows, keys, t, x, y).groupBy(*keys).agg(F.min("speed").alias("speed_min"), F.max("speed").alias("speed_max"))
+    return displacement(rows, keys, t, x, y).join(angular_velocity(rows, keys, t, x, y), keys).join(s, keys)
+
+
+def zero_frames(rows: DataFrame, lineage: list[str], track: list[str], t: str, annotated: Column, predicted: Column, least: int) -> DataFrame:
+    """Of each lineage its zero: the first annotated frame of its tracks, or else the first frame of the earliest run of `least` predicted ones; and which of both. Lineages without either are left out."""
+    manual = rows.where(annotated).groupBy(*lineage).agg(F.min(t).alias("_m"))
+    found = first_run(rows, [*lineage, *track], t, F.coalesce(predicted, F.lit(False)), least).groupBy(*lineage).agg(F.min("t_run").alias("_r"))
+    z = manual.join(found, lineage, "full_outer")
+    return z.select(*lineage, F.coalesce("_m", "_r").alias("t_zero"), F.when(F.col("_m").isNotNull(), "annotation").otherwise("run").alias("origin"))
+
+
+def relative_times(rows: DataFrame, lineage: list[str], t: str, zeros: DataFrame, interval: float) -> DataFrame:
+    """Rows with t_zero, frames and minutes since it, and whether they are before it; all null for lineages without a zero."""
+    z = rows.join(zeros.select(*lineage, "t_zero"), lineage, "left")
+    return z.withColumns({"since": F.col(t) - F.col("t_zero"), "minutes": (F.col(t) - F.col("t_zero")) * interval, "before": F.col(t) < F.col("t_zero")})
+
+
+def threshold_onsets(rows: DataFrame, keys: list[str], fov: str, t: str, signal: str, thresholds: DataFrame) -> DataFrame:
+    """Of each track the first frame whose signal exceeds the threshold of its field of view (columns fov, threshold); null where it never does or there is no threshold."""
+    x = rows.join(thresholds.select(fov, "threshold"), fov, "left")
+    return x.groupBy(fov, *keys).agg(F.min(F.when(F.col(signal) > F.col("threshold"), F.col(t))).alias("onset"))
