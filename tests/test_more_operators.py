@@ -70,3 +70,25 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert sorted(got) == sorted(want)
     first = spark.table("x").groupBy("user_id").agg(F.min("crossed").alias("c")).collect()
     assert sorted(first) == sorted(src.where("value >= 80").groupBy("user_id").agg(F.min("ts").alias("c")).collect())
+
+
+def test_rank_significance_query(spark):
+    """The query's p against its own U, by the normal approximation with ties and continuity."""
+    import math
+
+    from tracklake.plans import model_queries
+    from tracklake.plans.common import events
+
+    rows = {}
+    for r in events(spark, "/root/testdata/sf0.001").collect():
+        rows.setdefault(r.user_id, []).append((r.value, r.event_type == "error"))
+    got = {r.user_id: r for r in model_queries.error_rank_significance(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(rows)
+    for user, own in rows.items():
+        a, b = [v for v, f in own if f], [v for v, f in own if not f]
+        u = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
+        n, counts = len(own), [sum(v == w for w, _ in own) for v, _ in own]
+        ties = sum(c * c - 1 for c in counts)
+        sd = math.sqrt(len(a) * len(b) / 12 * (n + 1 - ties / (n * (n - 1)))) if n > 1 else 0
+        p = math.erfc(max(0.0, abs(u - len(a) * len(b) / 2) - 0.5) / sd / math.sqrt(2)) if a and b and sd else None
+        assert got[user].u == u and (got[user].p is None if p is None else got[user].p == pytest.approx(p, abs=1e-6))

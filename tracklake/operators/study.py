@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklake.functions.lineage import running
 from tracklake.operators.index import hashed_order
 
 
@@ -98,16 +99,13 @@ def batch_plan(rows: DataFrame, key: str, group: list[str], size: int, seed: str
     """Batches of one group each: group columns, batch, key. Within a group rows come in hashed order; with a stratum, strata take turns, so that a
     batch holds nearly as many rows of each as there are left. The last batch of a group may be smaller.
 
-    A group is numbered within its strata; the turns of strata follow from a row's place in its stratum, so only (group, turn) is sorted.
+    Rows are numbered by running counts over ranges of the hashed order (of turns and strata), so a group may be of any size. Keys are distinct.
     """
-    h = hashed_order(seed, key)
-    if stratum is None:
-        place = F.row_number().over(Window.partitionBy(*group).orderBy(h, key)) - 1
-    else:
-        turn = F.row_number().over(Window.partitionBy(*group, stratum).orderBy(h, key))
-        rows = rows.withColumn("_turn", turn)
-        place = F.row_number().over(Window.partitionBy(*group).orderBy("_turn", stratum)) - 1
-    return rows.withColumn("_place", place).select(*group, *[stratum] * bool(stratum), key, F.expr(f"_place div {size}").alias("batch"))
+    x = rows.withColumns({"_o": F.struct(hashed_order(seed, key).alias("h"), F.col(key).alias("k")), "_one": F.lit(1)})
+    if stratum is not None:
+        x = running(x, [*group, stratum], "_o", {"_turn": "_one"}).withColumn("_o", F.struct("_turn", F.col(stratum).alias("s")))
+    x = running(x, group, "_o", {"_place": "_one"})
+    return x.select(*group, *[stratum] * bool(stratum), key, F.expr(f"(_place - 1) div {size}").alias("batch"))
 
 
 def histogram_peak(rows: DataFrame, keys: list[str], value: str, bins: int = 50) -> DataFrame:
