@@ -62,3 +62,23 @@ def test_clashing_names(spark):
     got = mix_sources(docs, bucket_rows=1).collect()
     assert len(got) == 200 and sorted(g.position for g in got) == list(range(200))
     assert all(g[n] == f"{n}{i}" for g in got for i, n in enumerate(names))
+
+
+def test_sql_shares_slots_as_the_code_does(spark):
+    """Four large sources and 246 with one row each: the least slots ask for more than there are."""
+    import duckdb
+
+    from tracklake.llm import mixing
+
+    docs = spark.range(4 * 60_000 + 246).selectExpr("id AS doc_id", "if(id < 240000, concat('big', id % 4), concat('s', id)) AS source")
+    pdf = docs.toArrow()
+    c = duckdb.connect()
+    c.register("documents", pdf)
+    columns = ["doc_id", "source", "seq", "block", "release", "deadline", "slot", "position", "on_target"]
+    names = [d[0] for d in c.execute(mixing.SQL + " LIMIT 0").description]
+    want = sorted(tuple(r[names.index(n)] for n in columns) for r in c.execute(mixing.SQL).fetchall())
+    got = sorted(tuple(r) for r in mixing.mix_sources(docs).select(*columns).collect())
+    assert got == want
+    # the case is the one that is meant
+    share = 60_000**0.5 / (4 * 60_000**0.5 + 246) * 1000
+    assert 4 * int(share) + 246 > 1000

@@ -113,9 +113,13 @@ q AS (SELECT *, row_number() OVER (PARTITION BY sk ORDER BY o, doc_id) - 1 AS se
 s AS (SELECT sk, count(*) AS n, pow(count(*)::DOUBLE, 0.5) AS share FROM d GROUP BY sk),
 c AS (SELECT greatest(1000, 4 * count(*)) AS period, sum(share) AS total FROM s),
 w AS (SELECT sk, n, share / total * period AS ideal, row_number() OVER (ORDER BY sk) AS i, period FROM s, c),
-l AS (SELECT *, greatest(1, floor(ideal)::BIGINT) AS low, row_number() OVER (ORDER BY -(ideal - floor(ideal)), i) AS by_rest FROM w),
-f AS (SELECT *, period - sum(low) OVER () AS rest, row_number() OVER (ORDER BY low DESC, i) AS largest FROM l),
-k AS (SELECT sk, n, i, period, (CASE WHEN rest >= 0 THEN low + (by_rest <= rest)::INT ELSE low + CASE WHEN largest = 1 THEN rest ELSE 0 END END)::BIGINT AS k FROM f),
+v AS (SELECT *, sum(greatest(1, floor(ideal))) OVER () > period AS too_many, row_number() OVER (ORDER BY ideal, i) AS place, coalesce(sum(ideal) OVER (ORDER BY ideal, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w),
+x AS (SELECT *, bool_and((period - place + 1) * ideal < period - before) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS small FROM v),
+y AS (SELECT count(*) FILTER (small) AS ones, coalesce(sum(ideal) FILTER (small), 0) AS taken, max(ideal) FILTER (small) AS largest FROM x),
+u AS (SELECT sk, n, i, period, CASE WHEN NOT too_many THEN ideal WHEN ones > 0 AND ideal <= largest THEN 1.0 ELSE (period - ones) * ideal / (period - taken) END AS ideal FROM x, y),
+l AS (SELECT *, greatest(1, floor(ideal)::BIGINT) AS low, row_number() OVER (ORDER BY -(ideal - floor(ideal)), i) AS by_rest FROM u),
+f AS (SELECT *, period - sum(low) OVER () AS rest FROM l),
+k AS (SELECT sk, n, i, period, (low + (by_rest <= rest)::INT)::BIGINT AS k FROM f),
 a AS (SELECT list(k ORDER BY i) AS ks, any_value(period) AS period FROM k),
 sim(t, given, pick) AS (
   SELECT -1::BIGINT, list_transform(ks, lambda x: 0::BIGINT), 0::BIGINT FROM a
