@@ -55,6 +55,7 @@ def _blocks(points: DataFrame, eps: float, cells: int, block: int) -> DataFrame:
     blocks, and a visitor (side 1) of every cell that has members within eps of it, as the triangle inequality allows. own and other are blocks of members and of visitors.
     """
     spark = points.sparkSession
+    cells = min(cells, max(1, -(-4 * points.count() // block)))  # cells of less than a quarter of a block save nothing
     pivots = _matrix(pa.array([r.v for r in points.orderBy(F.xxhash64("v"), "v").limit(cells).select("v").collect()]))
     width = len(pivots)
     if not width:
@@ -107,7 +108,7 @@ def dbscan(rows: DataFrame, key: str, vector: str, eps: float = 0.5, least: int
     """(key, cluster, core): core points have at least `least` points within eps (Euclidean, themselves included); core points within eps of each other are one cluster, named
     by its least core key; other points within eps of core points are in the cluster of these with the least name; the rest is noise, whose cluster is null.
 
-    Equal vectors are one point with a weight, so copies cost one row. Points go to the nearest of `cells` pivots (a hashed sample); each meets, besides its own cell,
+    Equal vectors are one point with a weight, so copies cost one row. Points go to the nearest of at most `cells` pivots (a hashed sample); each meets, besides its own cell,
     only cells that reach within eps of it, in blocks of at most about `block` members and visitors. A block returns counts, then a spanning forest
     of its core points and, for each point that isn't core, the core points near it, which are fewer than `least`. Nothing is dropped or capped.
 
