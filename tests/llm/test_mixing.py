@@ -1,6 +1,45 @@
+import heapq
+import random
 from fractions import Fraction
 
-from tracklake.llm.mixing import mix_sources
+from tracklake.llm.mixing import mix_sources, schedule
+
+
+def earliest_deadline_first(ks):
+    """Slot by slot with a heap: (source, turn) of every slot."""
+    period, released, out = sum(ks), [], []
+    jobs = sorted((j * period // k, -(-(j + 1) * period // k), i, j) for i, k in enumerate(ks) for j in range(k))
+    at = 0
+    for t in range(period):
+        while at < len(jobs) and jobs[at][0] <= t:
+            heapq.heappush(released, jobs[at][1:])
+            at += 1
+        out.append(heapq.heappop(released)[1:])
+    return out
+
+
+def test_halving_gives_the_slots_of_a_heap(spark):
+    draw = random.Random(3)
+    for ks in ([1], [7], [1] * 40, [900, 1, 1, 1, 97], [draw.randint(1, 4) for _ in range(90)], [draw.randint(1, 30) for _ in range(17)], [1] * 60 + [130, 66]):
+        sources = spark.createDataFrame(list(enumerate(ks)), "i long, k long")
+        want = earliest_deadline_first(ks)
+        for leaf in (1, 8, 1024) if len(ks) > 80 else (8,):
+            got = {r.place: (r.i, r.turn) for r in schedule(sources, sum(ks), leaf).collect()}
+            assert [got[t] for t in range(sum(ks))] == want and len(got) == sum(ks)
+
+
+def test_more_sources_than_fit_in_a_period(spark):
+    """3,000 sources, so 12,000 slots, most sources with one row; 5,000 rows in one of them."""
+    n = [5000] + [1 + (s % 37 == 0) * 40 for s in range(1, 3000)]
+    docs = spark.createDataFrame([(3000 * j + s, f"s{s:04}") for s, m in enumerate(n) for j in range(m)], "doc_id long, source string")
+    got = mix_sources(docs, dict.fromkeys((f"s{s:04}" for s in range(3000)), 1.0), block=4).collect()
+    got.sort(key=lambda g: g.position)
+    assert len(got) == sum(n) and [g.position for g in got] == list(range(sum(n)))
+    slots = [g.slot for g in got]
+    assert slots == sorted(slots) and len({(g.slot, g.source_key, g.block) for g in got}) == len(set(slots))
+    assert all(g.release <= g.slot < g.deadline for g in got)
+    # equal weights: four slots each, so every source has a first block among the first 3,000 slots
+    assert {g.source for g in got if g.slot < 3000} == {f"s{s:04}" for s in range(3000)}
 
 
 def test_every_prefix_is_on_target(spark):

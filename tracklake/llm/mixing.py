@@ -5,27 +5,82 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import materialize, table
+from tracklake.functions.lineage import running
+from tracklake.llm.common import if_few, materialize, table
 
-#: One period of the schedule. State: blocks given to each source so far, and the slots. In every slot, of the sources
-#: whose next block is released, the one with the earliest deadline gets it; ties go to the source that sorts first.
+#: Jobs that one array holds at most while slots are given out.
+_LEAF = 1024
+#: Blocks of a source whose slots and positions are one row.
+_CHUNK = 4096
+
+#: A period, or a part of it, slot by slot: of the blocks that are released, the one of the least rank (the earliest deadline) gets the slot.
 _EDF = """
 aggregate(
-  sequence(0, period - 1),
-  struct(transform(ks, k -> 0L) AS given, cast(array() AS array<struct<slot: int, src: int, turn: bigint, given: array<bigint>>>) AS slots),
+  slots,
+  struct(jobs AS left, cast(array() AS array<struct<place: bigint, i: bigint, turn: bigint>>) AS done),
   (s, t) -> aggregate(
-    array(array_min(transform(
-      filter(transform(ks, (k, i) -> struct(i AS i, floor(s.given[i] * period / k) AS release, ceil((s.given[i] + 1) * period / k) AS deadline)), x -> x.release <= t),
-      x -> x.deadline * 1000000 + x.i)) % 1000000),
+    array(filter(s.left, x -> x.pos <= t)[0]),
     s,
-    (u, p) -> struct(
-      transform(u.given, (g, i) -> if(i = p, g + 1, g)) AS given,
-      concat(u.slots, array(struct(cast(t AS int) AS slot, cast(p AS int) AS src, u.given[cast(p AS int)] AS turn, u.given AS given))) AS slots)),
-  s -> s.slots)
+    (u, p) -> struct(filter(u.left, x -> x.rank <> p.rank) AS left, concat(u.done, array(struct(t AS place, p.i AS i, p.turn AS turn))) AS done)),
+  s -> s.done)
 """
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block: int = 16, period: int = 1000, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", max_sources: int = 2_000, bucket_rows: int = 100_000) -> DataFrame:
+def schedule(sources: DataFrame, period: int, leaf: int = _LEAF) -> DataFrame:
+    """The slots of one period, earliest deadline first: i, turn, place for sources (i, k), the k adding up to the period.
+
+    Turn j of a source is released at floor(j * period / k) and due by ceil((j + 1) * period / k); equal deadlines go to the lesser i.
+
+    Slots that blocks of earlier deadlines take don't depend on blocks of later ones. So the blocks are halved by deadline, and the
+    slots at which the first half has a block waiting are its own; the rest are the second half's. Halves are halved in turn, each
+    round in one window over all of them, until at most `leaf` blocks are left together; their slots are given out one by one.
+    The first round sorts 2 * period narrow rows in one task; period is some rows for each source, whatever the sources' sizes.
+    """
+    spark = sources.sparkSession
+    jobs = sources.select("i", "k", F.explode(F.expr("sequence(0L, k - 1)")).alias("turn"))
+    jobs = jobs.withColumn("rank", F.row_number().over(Window.orderBy(F.expr(f"((turn + 1) * {period} + k - 1) div k"), "i")).cast("long") - 1)
+    jobs = jobs.selectExpr("0L AS node", "0 AS is_slot", f"(turn * {period}) div k AS pos", "rank", "i", "turn")
+    parts = jobs.union(spark.range(period).selectExpr("0L", "1", "id", "NULL", "NULL", "NULL"))
+    size = leaf
+    while size < period:
+        size *= 2
+    while size > leaf:
+        size //= 2
+        second = F.expr(f"(rank div {size}) % 2")
+        # blocks released at a slot come before it; what is served is the slots so far, less those at which none of the first half waited
+        w = Window.partitionBy("node").orderBy("pos", "is_slot", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        r = materialize(parts, "mix-halves").withColumn("arrived", F.sum(F.when(second == 0, 1).otherwise(0)).over(w)).withColumn("slots", F.sum("is_slot").over(w))
+        r = r.withColumn("served", F.col("slots") + F.least(F.lit(0), F.coalesce(F.min(F.when(F.col("is_slot") == 1, F.col("arrived") - F.col("slots"))).over(w), F.lit(0))))
+        taken = F.col("served") - F.lag("served", 1, 0).over(Window.partitionBy("node").orderBy("pos", "is_slot", "rank"))
+        parts = r.withColumn("node", F.col("node") * 2 + F.when(F.col("is_slot") == 1, 1 - taken).otherwise(second)).select(*parts.columns)
+    whole = parts.groupBy("node").agg(F.sort_array(F.collect_list(F.when(F.col("is_slot") == 0, F.struct("rank", "pos", "i", "turn")))).alias("jobs"), F.sort_array(F.collect_list(F.when(F.col("is_slot") == 1, F.col("pos")))).alias("slots"))
+    # without sources there are slots and no blocks
+    return whole.where("size(jobs) > 0").selectExpr(f"inline({_EDF})").select("i", "turn", "place")
+
+
+def _slots_of_sources(sources: DataFrame, period: int) -> DataFrame:
+    """Adds i, the place of a source by its name, and k, its slots in the period, to sources with source_key and share.
+
+    At least one slot each. If lifting the small ones to it asks for more slots than there are, they get theirs first and the others
+    share what remains by their weights: from the smallest up, a source whose part of the remaining slots is below one has just one.
+    What is left over goes to the largest remainders. The sources, a narrow row each, are sorted in one task.
+    """
+    everyone = Window.orderBy("source_key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = sources.withColumns({"i": F.row_number().over(Window.orderBy("source_key")).cast("long") - 1, "total": F.sum("share").over(everyone), "sources": F.count("*").over(everyone)})
+    s = s.withColumn("ideal", F.expr(f"if(total > 0, share / total, 1D / sources) * {period}"))
+    s = s.withColumn("over", F.sum(F.expr("greatest(1L, cast(floor(ideal) AS bigint))")).over(everyone) > period)
+    upwards = Window.orderBy("ideal", "i")
+    s = s.withColumns({"ones": F.row_number().over(upwards) - 1, "rest": period - F.coalesce(F.sum("ideal").over(upwards.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
+    s = s.withColumn("small", F.min(F.expr(f"({period} - ones) * ideal < rest")).over(upwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    s = s.withColumns({"ones": F.sum(F.expr("if(small, 1, 0)")).over(everyone), "largest": F.max(F.expr("if(small, ideal, NULL)")).over(everyone), "rest": F.min(F.expr("if(small, rest - ideal, NULL)")).over(everyone)})
+    s = s.withColumn("ideal", F.expr(f"CASE WHEN NOT over THEN ideal WHEN ideal <= largest THEN 1D ELSE ({period} - ones) * ideal / coalesce(rest, {period}) END"))
+    s = s.withColumn("low", F.expr("greatest(1L, cast(floor(ideal) AS bigint))"))
+    s = s.withColumns({"left": period - F.sum("low").over(everyone), "by_rest": F.row_number().over(Window.orderBy(F.floor("ideal") - F.col("ideal"), "i"))})
+    s = s.withColumn("k", F.expr("low + if(by_rest <= left, 1, 0)"))
+    return s.withColumn("k", F.when(F.sum("k").over(everyone) == period, F.col("k")).otherwise(F.raise_error(F.lit("slots do not add up to the period")).cast("long"))).select(*sources.columns, "i", "k")
+
+
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block: int = 16, period: int = 1000, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", bucket_rows: int = 100_000) -> DataFrame:
     """Every row of docs with source_key, seq, block, release, deadline, slot, position and on_target.
 
     A source's rows are put in the order of md5(seed + id), then cut into blocks of `block` rows. Its weight is
@@ -42,7 +97,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     Null sources are a source of their own. Repeated rows and ids each get their own place. Rows with a null id come with the id text ''.
     An empty table gives no rows. Columns of docs that have the name of a new column are replaced; other names are free. A source is sorted in
     buckets of about `bucket_rows` rows, however large it is.
-    What is broadcast is bounded: period rows, with one count for each of at most `max_sources` sources (more raise ValueError).
+    There may be any number of sources: the period grows with them (four slots a source), its slots are found by halving, and the rows before
+    each block are a running sum over ranges of slots. Slots are broadcast only where they are counted as few.
     """
     spark = docs.sparkSession
     new = ["source_key", "seq", "block", "release", "deadline", "slot", "position", "on_target"]
@@ -60,43 +116,34 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     counts = base.groupBy("source_key", "_bucket").agg(F.count("*").alias("n"))
     counts = materialize(counts.withColumn("_before", F.sum("n").over(Window.partitionBy("source_key").orderBy("_bucket")) - F.col("n")), "mix-counts")
     sources = counts.groupBy("source_key").agg(F.sum("n").alias("n"))
-    n_sources = sources.count()
-    if n_sources > max_sources:
-        raise ValueError(f"{n_sources} sources; at most {max_sources} are meant")
-    period = max(period, 4 * n_sources)
+    period = max(period, 4 * sources.count())
     if weights is None:
         share = F.pow(F.col("n").cast("double"), F.lit(float(power)))
     else:
         given = spark.createDataFrame([("null" if k is None else f"={k}", float(v)) for k, v in weights.items()], "source_key string, share double")
-        sources, share = sources.join(F.broadcast(given), "source_key", "left"), F.coalesce(F.col("share"), F.lit(0.0))
-    # a row for each source: few, so one list holds them
-    few = sources.select(F.struct("source_key", "n", share.alias("share")).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    few = few.selectExpr("s", "aggregate(s, 0D, (a, x) -> a + x.share) AS total", f"{period} AS period")
-    few = few.selectExpr("s", "period", "transform(s, x -> if(total > 0, x.share / total, 1D / size(s)) * period) AS ideal")
-    # At least one slot each. If lifting the small ones to it asks for more slots than there are, they get theirs first and the
-    # others share what remains by their weights: from the smallest up, a source whose part of the remaining slots is below one has just one.
-    few = few.selectExpr("s", "period", "ideal", "aggregate(ideal, 0L, (a, x) -> a + greatest(1L, cast(floor(x) AS bigint))) > period AS over")
-    few = few.selectExpr("s", "period", "ideal", "over", "aggregate(array_sort(ideal), struct(0L AS ones, cast(period AS double) AS rest), (a, x) -> if(over AND (period - a.ones) * x < a.rest, struct(a.ones + 1 AS ones, a.rest - x AS rest), a)) AS a", "array_sort(ideal) AS sizes")
-    few = few.selectExpr("s", "period", "transform(ideal, x -> if(NOT over, x, if(a.ones > 0 AND x <= sizes[cast(a.ones - 1 AS int)], 1D, (period - a.ones) * x / a.rest))) AS ideal")
-    # what is left over goes to the largest remainders
-    few = few.selectExpr("s", "period", "ideal", "transform(ideal, x -> greatest(1L, cast(floor(x) AS bigint))) AS low")
-    few = few.selectExpr("s", "period", "low", "period - aggregate(low, 0L, (a, x) -> a + x) AS left", "transform(array_sort(transform(ideal, (x, i) -> struct(-(x - floor(x)) AS r, i AS i))), x -> x.i) AS by_rest")
-    few = few.selectExpr("s", "period", "transform(low, (k, i) -> k + if(array_position(by_rest, i) <= left, 1, 0)) AS ks")
-    few = few.selectExpr("s", "period", "if(size(ks) = 0 OR forall(ks, k -> k >= 1) AND aggregate(ks, 0L, (a, k) -> a + k) = period, ks, raise_error('slots do not add up to the period')) AS ks")
-    plan = materialize(few.selectExpr("transform(s, x -> x.source_key) AS names", "transform(s, x -> x.n) AS ns", "ks", "period").selectExpr("*", f"{_EDF} AS slots", f"array_min(transform(zip_with(ns, ks, (n, k) -> struct(n AS n, k AS k)), x -> floor(cast(ceil(x.n / {block}) AS bigint) * period / x.k))) AS dry"), "mix-plan")
-    # every source has all of its turns in the period, so that no row is lost in the join on them
-    plan = plan.withColumn("slots", F.expr("if(transform(element_at(slots, -1).given, (g, i) -> g + if(i = element_at(slots, -1).src, 1, 0)) = ks, slots, raise_error('a source lacks slots'))"))
-    slots = plan.selectExpr("names", "ns", "ks", "dry", "inline(slots)").selectExpr("names[src] AS source_key", "turn", "slot AS place", "given", "ns", "ks", "dry", "ks[src] AS k")
+        sources, share = sources.join(if_few(given), "source_key", "left"), F.coalesce(F.col("share"), F.lit(0.0))
+    sources = _slots_of_sources(sources.select("source_key", "n", share.alias("share")), period)
+    # the slot at which the first source has run out
+    dry = F.min(F.expr(f"((n + {block - 1}) div {block} * {period}) div k")).over(Window.orderBy("source_key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    sources = materialize(sources.withColumn("dry", dry), "mix-sources")
+    slots = materialize(schedule(sources.select("i", "k"), period), "mix-slots")
+
+    # each block's slot, and the rows before it: sources are cut into chunks of blocks first, so that a large one is spread
+    blocks = sources.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n - 1) div {block * _CHUNK})"))).repartition("i", "chunk")
+    blocks = blocks.withColumn("block", F.explode(F.expr(f"sequence(chunk * {_CHUNK}, least((n - 1) div {block}, (chunk + 1) * {_CHUNK} - 1))")))
+    blocks = blocks.withColumns({"turn": F.expr("block % k"), "size": F.expr(f"least({block}, n - block * {block})")}).join(if_few(slots), ["i", "turn"])
+    blocks = running(blocks.selectExpr("source_key", "chunk", "k", "dry", "block", f"block div k * {period} + place AS slot", "size"), [], "slot", {"upto": "size"})
+    places = blocks.groupBy("source_key", "chunk").agg(F.first("k").alias("k"), F.first("dry").alias("dry"), F.sort_array(F.collect_list(F.struct("block", "slot", (F.col("upto") - F.col("size")).alias("start")))).alias("blocks"))
+    places = materialize(places, "mix-places")
 
     own = Window.partitionBy("source_key", "_bucket").orderBy("_order", "id")
     rows = base.join(counts.select("source_key", "_bucket", "_before"), ["source_key", "_bucket"]).withColumn("seq", F.col("_before") + F.row_number().over(own) - 1)
-    rows = rows.withColumn("block", F.expr(f"seq div {block}")).join(F.broadcast(plan.selectExpr("inline(arrays_zip(names, ks))").toDF("source_key", "_k")), "source_key")
-    rows = rows.withColumn("turn", F.expr("block % _k")).withColumn("_round", F.expr("block div _k")).join(F.broadcast(slots), ["source_key", "turn"])
-    rows = rows.withColumns({
+    rows = rows.withColumn("block", F.expr(f"seq div {block}")).withColumn("chunk", F.expr(f"block div {_CHUNK}")).join(places, ["source_key", "chunk"])
+    rows = rows.withColumn("_place", F.expr(f"blocks[cast(block % {_CHUNK} AS int)]")).withColumns({
         "release": F.expr(f"(block * {period}) div k"),
         "deadline": F.expr(f"((block + 1) * {period} + k - 1) div k"),
-        "slot": F.expr(f"_round * {period} + place"),
-        "position": F.expr(f"aggregate(zip_with(zip_with(given, ks, (g, k) -> (_round * k + g) * {block}), ns, (x, n) -> least(x, n)), 0L, (a, x) -> a + x) + seq % {block}"),
+        "slot": F.col("_place.slot"),
+        "position": F.expr(f"_place.start + seq % {block}"),
     }).withColumn("on_target", F.col("slot") <= F.col("dry"))
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in new], *new)
 
