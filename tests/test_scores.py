@@ -96,3 +96,28 @@ def test_offsets_cost_no_digits(spark):
 def test_a_lone_component_stays(spark):
     df = spark.createDataFrame([(1, [float(i)]) for i in range(5)], "g int, v array<double>")
     assert [tuple(r) for r in scores.uncorrelated(df, "g", "v").collect()] == [(1, 0, True)]
+
+
+def test_routed_classes(spark):
+    import math
+
+    import pytest
+
+    from tracklake.operators.scores import routed_classes
+
+    rows = spark.createDataFrame([(1, "a", 2.0, 1.0), (2, "b", 1.0, None), (3, None, 1.0, 1.0), (4, "z", 1.0, 1.0), (5, "a", 0.0, 0.0), (5, "a", 0.0, 0.0)], "id long, marker string, x double, prediction double")
+    model = [("t1", "a", "yes", [1.0], 0.0), ("t1", "a", "no", [-1.0], 0.0), ("t1", "b", "no", [0.0], 1.0), ("t1", "b", "yes", [0.0], 0.0), ("t2", "a", "only", [3.0], 0.0)]
+    schema = "task string, marker string, class string, w array<double>, b double"
+    got = routed_classes(rows, spark.createDataFrame(model, schema), "task", "marker", "class", "w", "b", ["x"]).collect()
+    assert len(got) == 12
+    at = {(r.id, r.task): r for r in got}
+    assert at[1, "t1"].prediction == "yes" and at[1, "t1"].classes == ["no", "yes"]
+    assert abs(at[1, "t1"].probabilities[1] - 1 / (1 + math.exp(-4))) < 1e-12
+    assert at[2, "t1"].prediction == "no" and at[2, "t2"].prediction is None and at[2, "t2"].probabilities is None
+    assert at[3, "t1"].prediction is None and at[4, "t2"].prediction is None and at[1, "t2"].probabilities == [1.0]
+    assert at[5, "t1"].prediction == "no" and at[5, "t1"].probabilities == [0.5, 0.5]  # equal scores: the first by name
+    empty = spark.createDataFrame([(1, "a", None, 0.0)], "id long, marker string, x double, prediction double")
+    assert [r.prediction for r in routed_classes(empty, spark.createDataFrame(model, schema), "task", "marker", "class", "w", "b", ["x"]).collect()] == [None, None]
+    assert routed_classes(rows, spark.createDataFrame([], schema), "task", "marker", "class", "w", "b", ["x"]).collect() == []
+    with pytest.raises(Exception, match="classes differ"):
+        routed_classes(rows, spark.createDataFrame([*model, ("t2", "b", "other", [1.0], 0.0)], schema), "task", "marker", "class", "w", "b", ["x"]).collect()

@@ -209,6 +209,33 @@ def routed_predictions(rows: DataFrame, models: DataFrame, route: str, features:
     return rows.join(if_few(models.select(route, bias, *weights)), route, "left").withColumn(out, score).drop(bias, *weights)
 
 
+def routed_classes(rows: DataFrame, models: DataFrame, task: str, route: str, label: str, weights: str, bias: str, features: list[str]) -> DataFrame:
+    """Each row classified for each task by the linear model of the task and the row's route: a row for each row and task.
+
+    models has a row for each task, route and class: weights, an array in the order of features, and a bias. Added are task, prediction
+    (the class of the greatest score, the first by name among equals), classes (by name) and probabilities (softmax of their scores).
+    All of these but task and classes are null where the task has no model for the route, where the route is null, and where a feature is null.
+    The models of a task must have the same classes, else an error is raised. No models give no rows. Names of added columns replace the rows' own.
+    """
+    new = [task, "prediction", "classes", "probabilities"]
+    each = models.groupBy(task, route).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col(weights).alias("weights"), F.col(bias).cast("double").alias("bias")))).alias("model"))
+    each = each.withColumn("classes", F.transform("model", lambda m: m["label"]))
+    # few: a row for each task and a row for each route
+    tasks = each.groupBy(task).agg(F.min("classes").alias("classes"), F.max("classes").alias("_most"))
+    tasks = tasks.withColumn("classes", F.when(F.col("classes") == F.col("_most"), F.col("classes")).otherwise(F.raise_error(F.concat(F.lit("classes differ between the models of "), F.col(task).cast("string")))))
+    tasks = tasks.agg(F.array_sort(F.collect_list(F.struct(F.col(task).alias("task"), "classes"))).alias("_tasks"))
+    routes = each.where(F.col(route).isNotNull()).groupBy(F.col(route).alias("_route")).agg(F.map_from_entries(F.collect_list(F.struct(F.col(task), "model"))).alias("_models"))
+    own = rows.select(F.struct(*rows.columns).alias("_row"), F.col(route).alias("_route"), F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+    r = own.join(if_few(routes), "_route", "left").crossJoin(F.broadcast(tasks))  # one row
+    r = r.select("_row", "_x", "_models", F.explode("_tasks").alias("_task"))
+    known = F.when(F.forall("_x", lambda x: x.isNotNull()), F.get(F.map_values(F.map_filter("_models", lambda t, m: t == F.col("_task.task"))), F.lit(0)))
+    r = r.withColumn("_scores", F.transform(known, lambda m: m["bias"] + F.aggregate(F.zip_with(m["weights"], "_x", lambda w, x: w.cast("double") * x), F.lit(0.0), lambda s, x: s + x)))
+    r = r.withColumn("_powers", F.transform("_scores", lambda x: F.exp(x - F.array_max("_scores"))))
+    r = r.withColumn("_sum", F.aggregate("_powers", F.lit(0.0), lambda s, x: s + x))
+    prediction = F.get("_task.classes", (F.array_position("_scores", F.array_max("_scores")) - 1).cast("int"))
+    return r.select(*[F.col("_row").getField(c).alias(c) for c in rows.columns if c not in new], F.col("_task.task").alias(task), prediction.alias("prediction"), F.col("_task.classes").alias("classes"), F.transform("_powers", lambda x: x / F.col("_sum")).alias("probabilities"))
+
+
 def first_positions(rows: DataFrame, position: str, most: int) -> DataFrame:
     """The rows of the first positions by name; the number is the feature."""
     return rows.join(F.broadcast(rows.select(position).where(F.col(position).isNotNull()).distinct().orderBy(position).limit(most)), position, "left_semi")

@@ -69,6 +69,20 @@ def routed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores.routed_predictions(x.drop("l_extendedprice"), lines, "l_returnflag", ["l_quantity"], ["w"], "bias"), "prediction", digits=2)
 
 
+def routed_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tasks, a model for each task and return flag (none of N for one, none of A for the other), learnt from all lines: discriminants of equal variances."""
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_discount", "l_tax")
+    taught = x.select("l_returnflag", "l_quantity", "l_discount", F.explode(F.array(
+        F.struct(F.lit("line").alias("task"), F.when(F.col("l_linenumber") < 3, "early").when(F.col("l_linenumber") < 5, "middle").otherwise("late").alias("class")),
+        F.struct(F.lit("tax").alias("task"), F.when(F.col("l_tax") > 0.04, "high").otherwise("low").alias("class")),
+    )).alias("t")).select("l_returnflag", "l_quantity", "l_discount", "t.*").where("(task = 'line' AND l_returnflag <> 'N') OR (task = 'tax' AND l_returnflag <> 'A')")
+    spread = taught.groupBy("task", "l_returnflag").agg(F.var_pop("l_quantity").alias("vq"), F.var_pop("l_discount").alias("vd"), F.count("*").alias("all"))
+    centres = taught.groupBy("task", "l_returnflag", "class").agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.count("*").alias("n"))
+    models = centres.join(spread, ["task", "l_returnflag"]).selectExpr("task", "l_returnflag", "class", "array(q / vq, d / vd) AS w", "ln(n / all) - (q * q / vq + d * d / vd) / 2 AS b")
+    r = scores.routed_classes(x.drop("l_tax"), models, "task", "l_returnflag", "class", "w", "b", ["l_quantity", "l_discount"])
+    return r.select("l_orderkey", "l_linenumber", "l_returnflag", "task", "prediction", F.array_join("classes", ",").alias("classes"), F.round(F.get("probabilities", F.lit(0)), 5).alias("first_class"))
+
+
 def first_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.first_positions(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", 3)
 
@@ -87,7 +101,7 @@ def resampled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     uncorrelated_components, label_effective_rank, label_frechet, zscored_prices, language_source_agreement, error_indistinguishability, quality_summary, finite_tax_ratio, dense_orders, warp_comparison, cohort_minutes,
-    routed_prices, first_brands, alignment_queries, resampled_labels,
+    routed_prices, routed_line_classes, first_brands, alignment_queries, resampled_labels,
 )}
 
 _Z = "round(({c} - avg({c}) OVER w) / (stddev_pop({c}) OVER w + 1e-8), 4) AS {c}"
@@ -108,6 +122,14 @@ SQL = {
     "cohort_minutes": f"WITH {EVENTS}, f AS (SELECT user_id, min(t) AS t_zero, count(*) AS n_errors FROM e WHERE event_type = 'error' GROUP BY 1) SELECT event_id, user_id, t, t_zero, n_errors, (t - t_zero) * 30.0::DOUBLE AS minutes FROM e LEFT JOIN f USING (user_id)",
     "routed_prices": """WITH m AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS w, regr_intercept(l_extendedprice, l_quantity) AS bias FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
       SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, round(bias + w * l_quantity, 2) AS prediction FROM lineitem LEFT JOIN m USING (l_returnflag)""",
+    "routed_line_classes": """WITH l AS (SELECT row_number() OVER () AS rid, * FROM lineitem), u AS (SELECT l_returnflag, l_quantity::DOUBLE AS q, l_discount::DOUBLE AS d, 'line' AS task, CASE WHEN l_linenumber < 3 THEN 'early' WHEN l_linenumber < 5 THEN 'middle' ELSE 'late' END AS class FROM lineitem WHERE l_returnflag <> 'N'
+        UNION ALL SELECT l_returnflag, l_quantity::DOUBLE, l_discount::DOUBLE, 'tax', CASE WHEN l_tax > 0.04 THEN 'high' ELSE 'low' END FROM lineitem WHERE l_returnflag <> 'A'),
+      v AS (SELECT task, l_returnflag, var_pop(q) AS vq, var_pop(d) AS vd, count(*) AS every FROM u GROUP BY 1, 2), c AS (SELECT task, l_returnflag, class, avg(q) AS q, avg(d) AS d, count(*) AS n FROM u GROUP BY 1, 2, 3),
+      m AS (SELECT task, l_returnflag, class, q / vq AS wq, d / vd AS wd, ln(n / every) - (q * q / vq + d * d / vd) / 2 AS b FROM c JOIN v USING (task, l_returnflag)),
+      s AS (SELECT rid, task, class, b + wq * l_quantity + wd * l_discount AS z FROM l JOIN m USING (l_returnflag)),
+      p AS (SELECT rid, task, arg_max(class, z) AS prediction, max(z) AS top, arg_min(z, class) AS first FROM s GROUP BY 1, 2), e AS (SELECT rid, task, sum(exp(z - top)) AS total FROM s JOIN p USING (rid, task) GROUP BY 1, 2),
+      k AS (SELECT task, string_agg(DISTINCT class, ',' ORDER BY class) AS classes FROM u GROUP BY 1)
+      SELECT l_orderkey, l_linenumber, l_returnflag, task, prediction, classes, round(exp(first - top) / total, 5) AS first_class FROM l CROSS JOIN k LEFT JOIN p USING (rid, task) LEFT JOIN e USING (rid, task)""",
     "first_brands": "SELECT p_partkey, p_brand FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL ORDER BY 1 LIMIT 3)",
     "alignment_queries": f"WITH {EVENTS} SELECT event_id, user_id, t, event_type FROM e WHERE event_type <> 'error' QUALIFY count(*) OVER (PARTITION BY user_id) >= 8",
     "resampled_labels": """WITH e AS (SELECT label, vec_id::DOUBLE AS pos, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT label, min(pos) AS lo, max(pos) AS hi, round((max(pos) - min(pos)) / 25)::INT AS n FROM e GROUP BY 1),
