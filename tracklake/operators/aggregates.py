@@ -133,9 +133,9 @@ def benjamini_hochberg(rows: DataFrame, p: str, keys: list[str] | None = None, o
     d = d.join(total, groups) if groups else d.crossJoin(F.broadcast(total))  # one row
     d = d.withColumn("_v", F.col("_p") * F.col("_all") / F.col("_rank")).repartitionByRange(*groups, "_p").withColumn("_part", F.spark_partition_id())
     d = cut(d)
-    after = Window.partitionBy(*groups).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*groups).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     later = d.groupBy(*groups, "_part").agg(F.min("_v").alias("_least")).select(*groups, "_part", F.min("_least").over(after).alias("_later"))
-    own = Window.partitionBy(*groups, "_part").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
+    own = Window.partitionBy(*groups, "_part").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)  # frames to the end are worked out anew for each row
     d = d.withColumn("_own", F.min("_v").over(own)).join(later, [*groups, "_part"]).select(*groups, "_p", F.least(F.lit(1.0), "_own", F.coalesce("_later", F.lit(1.0))).alias("_q"))
     return r.join(d, [*groups, "_p"]).withColumn(out, F.when(F.col(p).isNotNull(), F.col("_q"))).select(*rows.columns, out)
 
