@@ -45,6 +45,29 @@ def test_against_all_pairs(spark, seed, cells, block, offset):
     assert got == want + [(k, None, False) for k in (1001, 1002, 1003, 1004)]
 
 
+@pytest.mark.parametrize("hubs", [1, 5, 40])
+def test_few_hubs_leave_the_rest_to_blocks(spark, hubs):
+    x = rows_of(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(3)
+    assert sorted(tuple(r) for r in clusters.dbscan(df, "id", "x", 0.5, 5, 6, 50, hubs).collect()) == plain_dbscan(list(range(len(x))), x, 0.5, 5)
+
+
+def test_settled_points_do_not_meet_all_others(spark, monkeypatch):
+    """Work in blocks is for open points only: none in a dense cloud, the few outside of it else."""
+    asked, blocks = [], clusters._blocks
+    monkeypatch.setattr(clusters, "_blocks", lambda points, *a: asked.append(points.where("asks").count()) or blocks(points, *a))
+    cloud = np.random.default_rng(2).normal(0, 0.1, (3000, 8))
+    df = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    assert {tuple(r)[1:] for r in clusters.dbscan(df(cloud), "id", "x", 1.0, 5, hubs=500).collect()} == {(0, True)} and not asked
+    got = {r.id: (r.cluster, r.core) for r in clusters.dbscan(df([*cloud, np.full(8, 9.0)]), "id", "x", 1.0, 5, hubs=500).collect()}
+    assert got[3000] == (None, False) and asked == [1, 1]
+
+
+def test_within_decides_borders_from_differences():
+    a = np.array([[1e6, 0.0], [1e6 + 3, 4.0], [0.0, 0.0]])
+    assert clusters.within(a, a, 5.0).tolist() == (clusters.distances(a, a) <= 5.0).tolist() == [[True, True, False], [True, True, False], [False, False, True]]
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "id long, x array<double>")
     assert clusters.dbscan(df, "id", "x").collect() == []
