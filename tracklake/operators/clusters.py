@@ -21,9 +21,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         ways = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        wide = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        wide = ways.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = wide.groupBy("u").agg(F.min("v").alias("m"))
-        new = wide.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        new = wide.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = cut(new.where("u <> v").distinct())
         if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
             break
