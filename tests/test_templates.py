@@ -169,3 +169,21 @@ def test_queries_learn_from_the_table(spark):
     log = template_queries.alignment_gates(spark, sf).orderBy("step").collect()
     assert log[0].kept + log[0].dropped == a.select("user_id").distinct().count() and all(x.kept == y.kept + y.dropped for x, y in itertools.pairwise(log))
     assert {r.response for r in template_queries.dtw_responses(spark, sf).select(F.col("response")).collect()} >= {"non_responder", "early"}
+
+
+@pytest.mark.parametrize("subsequence", [False, True])
+def test_many_tracks_at_once_are_matched_as_one_by_one(subsequence):
+    r = np.random.default_rng(7)
+    shape = r.integers(0, 3, (5, 2)).astype(float)  # whole numbers: ties
+    tracks = [r.integers(0, 3, (int(n), 2)).astype(float) for n in r.integers(1, 12, 60)]
+    got = {k: (c, path.tolist()) for k, c, path in tp.matches(shape, tracks, subsequence)}
+    for k, own in enumerate(tracks):
+        total = tp.cumulated(tp.squared_gaps(shape, own), 0, len(own) if subsequence else 0)
+        j = int(np.argmin(total[5, 1:])) + 1 if subsequence else len(own)
+        assert got[k] == (total[5, j], [list(p) for p in tp.path_to(total, 5, j)])
+
+
+def test_alignments_make_no_task_call_for_each_track(spark):
+    df = spark.createDataFrame([(k, t, [float(t % 4)]) for k in range(30) for t in range(6)], "k int, t int, v array<double>")
+    a = tp.align_tracks(df, ["k"], "t", "v", tp.Template(np.array([[1.0], [2.0], [3.0]]), 1))
+    assert "FlatMapGroups" not in a._jdf.queryExecution().executedPlan().toString() and a.count() == 180

@@ -90,6 +90,43 @@ def best_match(template: np.ndarray, track: np.ndarray, psi: int | None = None)
     return float(np.sqrt(least)), path_to(total, i, j)
 
 
+def matches(template: np.ndarray, tracks: list[np.ndarray], subsequence: bool = False, paths: bool = True) -> Iterator[tuple[int, float, np.ndarray]]:
+    """(number of the track, least sum of squared gaps, path) of many tracks at once, as `cumulated` and `path_to` find them: each cell of the table of sums is one step over
+    tracks of like lengths. Tracks are aligned whole, or (subsequence) by the segment that fits the whole template best."""
+    n, lengths = len(template), np.array([len(x) for x in tracks], np.int64)
+    by, start = np.argsort(lengths, kind="stable"), 0
+    while start < len(by):
+        stop = start + 1
+        while stop < len(by) and stop - start < 4096 and (stop - start + 1) * (n + 1) * (lengths[by[stop]] + 1) <= 2_000_000:
+            stop += 1
+        at = by[start:stop]
+        start, size, m = stop, len(at), int(lengths[at].max())
+        x = np.zeros((size, m, template.shape[1]))
+        for k, i in enumerate(at.tolist()):
+            x[k, : lengths[i]] = tracks[i]
+        total = np.full((n + 1, m + 1, size), np.inf)
+        total[0, : m + 1 if subsequence else 1] = 0
+        for i in range(n):
+            gaps = ((template[i] - x) ** 2).sum(2).T
+            for j in range(m):
+                total[i + 1, j + 1] = gaps[j] + np.minimum(np.minimum(total[i, j], total[i, j + 1]), total[i + 1, j])
+        each = np.arange(size)
+        b = lengths[at].copy()
+        if subsequence:
+            b = np.where(np.arange(1, m + 1)[:, None] <= b, total[n, 1:], np.inf).argmin(0) + 1
+        cost, a, steps = total[n, b, each], np.full(size, n), []
+        while paths and (going := (a > 0) & (b > 0)).any():
+            steps.append(np.where(going, [a - 1, b - 1], -1))
+            i, j = np.maximum(a, 1), np.maximum(b, 1)
+            diagonal, up, left = total[i - 1, j - 1, each], total[i - 1, j, each], total[i, j - 1, each]
+            both = (diagonal <= up) & (diagonal <= left)
+            down = both | (up <= left)
+            a, b = np.where(going & down, a - 1, a), np.where(going & (both | ~down), b - 1, b)
+        trail = np.array(steps[::-1]).transpose(2, 0, 1) if steps else np.zeros((size, 0, 2), np.int64)
+        for k, i in enumerate(at.tolist()):
+            yield i, float(cost[k]), trail[k][trail[k, :, 0] >= 0]
+
+
 def path_skew(path: list[tuple[int, int]], places: int, frames: int) -> float:
     """Mean distance of a path's steps from the straight line between its ends, over the longer of both lengths."""
     if len(path) < 2 or places < 2 or frames < 2:
@@ -103,15 +140,23 @@ def _array(vectors: list) -> np.ndarray:
     return np.array(vectors, np.float64)
 
 
-def _per_task(tracks: DataFrame, add: Callable[[dict, Counter], None], columns: list[str], schema: str) -> DataFrame:
-    """Sums over tracks: add(row, sums) puts into sums under tuples of all columns but the last. A task returns its own sums, which are then added up."""
+def _nested(column: pa.Array) -> list[np.ndarray]:
+    """Tracks of a column of lists of vectors."""
+    n = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    v = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+    return np.split(v, np.cumsum(n)[:-1])
+
+
+def _per_task(tracks: DataFrame, add: Callable[[pa.RecordBatch, Counter], None], columns: list[str], schema: str) -> DataFrame:
+    """Sums over tracks: add(batch, sums) puts into sums under tuples of all columns but the last. A task returns its own sums, which are then added up."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
         for batch in batches:
-            for i in range(batch.num_rows):
-                add(batch.slice(i, 1).to_pylist()[0], sums)
+            if batch.num_rows:
+                add(batch, sums)
         if sums:
             rows = [(*k, v) for k, v in sums.items()]
             kinds = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
@@ -145,27 +190,22 @@ def learn_template(rows: DataFrame, keys: list[str], t: str, vector: str, label:
     if not first:
         raise ValueError("no tracks to learn from")
 
-    def distances(row: dict, sums: Counter) -> None:
-        own = _array(row["vectors"])
+    def distances(batch: pa.RecordBatch, sums: Counter) -> None:
+        own = _nested(batch.column("vectors"))
         for i, c in enumerate(first):
-            sums[i,] += float(np.sqrt(cumulated(squared_gaps(c, own))[-1, -1]))
+            sums[i,] += float(sum(np.sqrt(d) for _, d, _ in matches(c, own, paths=False)))
 
     cost = {r.candidate: r.cost for r in _per_task(tracks, distances, ["vectors"], "candidate int, cost double").collect()}
     template = first[min(cost, key=lambda i: (cost[i], i))]
 
-    def paths(shape: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
-        total = cumulated(squared_gaps(shape, own))
-        return path_to(total, len(shape), len(own))
-
     done = 0
     while done < rounds:
         shape = template
 
-        def means(row: dict, sums: Counter, shape: np.ndarray = shape) -> None:
-            own = _array(row["vectors"])
-            at = np.array(paths(shape, own))
-            added = np.zeros((len(shape), shape.shape[1] + 1))
-            np.add.at(added, at[:, 0], np.hstack([own[at[:, 1]], np.ones((len(at), 1))]))
+        def means(batch: pa.RecordBatch, sums: Counter, shape: np.ndarray = shape) -> None:
+            own, added = _nested(batch.column("vectors")), np.zeros((len(shape), shape.shape[1] + 1))
+            for k, _, at in matches(shape, own):
+                np.add.at(added, at[:, 0], np.hstack([own[k][at[:, 1]], np.ones((len(at), 1))]))
             for (p, i), x in np.ndenumerate(added):
                 sums[p, i] += float(x)
 
@@ -182,13 +222,15 @@ def learn_template(rows: DataFrame, keys: list[str], t: str, vector: str, label:
     if not (label or minutes):
         return Template(template, n, done)
 
-    def met(row: dict, sums: Counter) -> None:
-        for p, i in paths(template, _array(row["vectors"])):
-            if row["labels"][i]:
-                sums[p, "label", row["labels"][i]] += 1.0
-            if (x := row["minutes"][i]) is not None and np.isfinite(x):
-                sums[p, "time", "sum"] += x
-                sums[p, "time", "n"] += 1.0
+    def met(batch: pa.RecordBatch, sums: Counter) -> None:
+        labels, times = batch.column("labels").to_pylist(), batch.column("minutes").to_pylist()
+        for k, _, path in matches(template, _nested(batch.column("vectors"))):
+            for p, i in path.tolist():
+                if labels[k][i]:
+                    sums[p, "label", labels[k][i]] += 1.0
+                if (x := times[k][i]) is not None and np.isfinite(x):
+                    sums[p, "time", "sum"] += x
+                    sums[p, "time", "n"] += 1.0
 
     counts = {(r.place, r.kind, r.name): r.v for r in _per_task(tracks, met, ["vectors", "labels", "minutes"], "place int, kind string, name string, v double").collect()}
     places = range(len(template))
@@ -214,35 +256,38 @@ def align_tracks(rows: DataFrame, keys: list[str], t: str, vector: str, template
     shape, last = template.vectors, max(len(template.vectors) - 1, 1)
     names = sorted(template.fractions)
 
-    def one(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("t")
-        own, n = _array(table.column("v").to_pylist()), table.num_rows
-        out: dict[str, list] = {c: [] for c in ("t", "pseudotime", "region", "speed", "minutes", "labels", "cost", "mean_cost", "skew")}
-        if n >= least:
-            slack = None if subsequence else len(shape) // 2 if psi is None else psi
-            cost, path = best_match(shape, own, slack)
-            place = np.zeros(n, np.int64)
-            for p, i in path:
-                place[i] = p
-            lo, hi = (path[0][1], path[-1][1]) if subsequence else (0, n - 1)
-            place[:lo], place[hi + 1 :] = 0, last
-            pseudo = place / last
-            out["t"] = table.column("t").to_pylist()
-            out["pseudotime"] = pseudo.tolist()
-            out["region"] = ["pre"] * lo + ["aligned"] * (hi - lo + 1) + ["post"] * (n - hi - 1)
-            out["speed"] = np.gradient(pseudo).tolist() if n > 1 else [0.0]
-            out["minutes"] = [template.minutes[p] if template.minutes else None for p in np.minimum(place, len(shape) - 1).tolist()]
-            out["labels"] = [[(name, template.fractions[name][p]) for name in names] for p in np.minimum(place, len(shape) - 1).tolist()]
-            for c, v in (("cost", cost), ("mean_cost", cost / len(path)), ("skew", path_skew(path, len(shape), n))):
-                out[c] = [v] * n
-        types = {"t": table.schema.field("t").type, "region": pa.string(), "labels": pa.map_(pa.string(), pa.float64())}
-        columns = [pa.array([s.as_py()] * len(out["t"]), s.type) for s in key]
-        return pa.Table.from_arrays([*columns, *[pa.array(v, types.get(c, pa.float64())) for c, v in out.items()]], names=[*keys, *[t if c == "t" else c for c in out]])
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tracks = _nested(batch.column("v"))
+            if subsequence:
+                found = {k: (float(np.sqrt(cost) / len(shape)), path) for k, cost, path in matches(shape, tracks, True)}
+            else:
+                found = {k: (cost, np.array(path)) for k, (cost, path) in enumerate(best_match(shape, own, len(shape) // 2 if psi is None else psi) for own in tracks)}
+            out: dict[str, list] = {c: [] for c in ("pseudotime", "region", "speed", "place", "cost", "mean_cost", "skew")}
+            for k in range(len(tracks)):
+                n, (cost, path) = len(tracks[k]), found[k]
+                place = np.zeros(n, np.int64)
+                np.maximum.at(place, path[:, 1], path[:, 0])  # places of a path never fall
+                lo, hi = (int(path[0, 1]), int(path[-1, 1])) if subsequence else (0, n - 1)
+                place[:lo], place[hi + 1 :] = 0, last
+                out["region"] += ["pre"] * lo + ["aligned"] * (hi - lo + 1) + ["post"] * (n - hi - 1)
+                for c, v in (("place", np.minimum(place, len(shape) - 1)), ("pseudotime", place / last), ("speed", np.gradient(place / last) if n > 1 else np.zeros(1)), ("cost", np.full(n, cost)), ("mean_cost", np.full(n, cost / len(path))), ("skew", np.full(n, path_skew(path, len(shape), n)))):
+                    out[c].append(v)
+            place = np.concatenate(out.pop("place"))
+            of = pa.array(np.repeat(np.arange(len(tracks)), [len(x) for x in tracks]))
+            minutes = pa.array(np.array(template.minutes, np.float64)[place]) if template.minutes else pa.nulls(len(place), pa.float64())
+            labels = pa.array([[(name, template.fractions[name][p]) for name in names] for p in range(len(shape))], pa.map_(pa.string(), pa.float64())).take(pa.array(place))
+            got = {c: pa.array(v) if c == "region" else pa.array(np.concatenate(v)) for c, v in out.items()}
+            columns = [*[batch.column(k).take(of) for k in keys], batch.column("_t").flatten(), got["pseudotime"], got["region"], got["speed"], minutes, labels, got["cost"], got["mean_cost"], got["skew"]]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, t, "pseudotime", "region", "speed", "minutes", "labels", "cost", "mean_cost", "skew"])
 
     v = F.transform(vector, lambda x: x.cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{t} {kinds[t]}", "pseudotime double, region string, speed double, minutes double, labels map<string,double>, cost double, mean_cost double, skew double"])
-    return rows.where(F.col(vector).isNotNull() & finite).select(*keys, F.col(t).alias("t"), v.alias("v")).groupBy(*keys).applyInArrow(one, schema)
+    per = rows.where(F.col(vector).isNotNull() & finite).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), v.alias("v")))).alias("f"))
+    return per.where(F.size("f") >= least).select(*keys, F.col("f.t").alias("_t"), F.col("f.v").alias("v")).mapInArrow(align, schema)
 
 
 def event_band(template: Template, share: float = 0.5) -> tuple[float, float]:
