@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracklake.operators import aggregates
+from tracklake.operators import aggregates, kernel_tests
 
 
 def plan(df):
@@ -19,3 +19,13 @@ def test_q_values_have_no_frame_to_the_end(spark):
         least = min(least, r.p * 2000 / (2000 - i))
         want[r.id] = least
     assert all(abs(r.q - want[r.id]) < 1e-12 for r in rows)
+
+
+def test_pairs_of_blocks_are_not_merged_into_few_tasks(spark):
+    e = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("side"), F.array(F.rand(1), F.rand(2)).alias("v"))
+    spark.sparkContext.setJobGroup("blocks", "")
+    assert kernel_tests.mmd_tests(e, [], "side", [("a-b", "a", "b")], "v", "id", permutations=3, block=8).count() == 1
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("blocks") for s in status.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s) == 13 * 14 // 2

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracklake.functions.lineage import cut, running
 from tracklake.operators.aggregates import benjamini_hochberg
 from tracklake.operators.batches import STRIDES
+from tracklake.operators.clusters import _matrix
 from tracklake.operators.index import hashed_order
 from tracklake.operators.vectors import mean_vectors
 
@@ -33,7 +34,7 @@ def permuted(place: np.ndarray, total: int, first: int, permutation: int, seed:
     return (place * stride + start) % total < first
 
 
-def mmd_tests(rows: DataFrame, keys: list[str], condition: str, comparisons: list[tuple[str, str, str]], vector: str, row: str, time: str | None = None, edges: list[float] | None = None, centre: list[str] | None = None, aliases: dict[str, str] | None = None, permutations: int = 200, least: int = 2, shared_bandwidth: bool = False, sample: int = 1000, seed: str = "42", block: int = 4096) -> DataFrame:
+def mmd_tests(rows: DataFrame, keys: list[str], condition: str, comparisons: list[tuple[str, str, str]], vector: str, row: str, time: str | None = None, edges: list[float] | None = None, centre: list[str] | None = None, aliases: dict[str, str] | None = None, permutations: int = 200, least: int = 2, shared_bandwidth: bool = False, sample: int = 1000, seed: str = "42", block: int = 8192) -> DataFrame:
     """Of each group, time bin and comparison (name, a, b) of conditions: n_a, n_b, bandwidth, unbiased squared discrepancy mmd2, p, z, effect (mmd2 / bandwidth) and q.
 
     The kernel is exp(-d2 / (2 * bandwidth)), the bandwidth the median of squared distances between `sample` rows at most, by hashed order; with shared_bandwidth
@@ -41,7 +42,7 @@ def mmd_tests(rows: DataFrame, keys: list[str], condition: str, comparisons: lis
     deviations, q the false discovery rate over all rows of the result. Conditions can have aliases; bins are [edge, next edge); `centre` takes
     the mean of each group of those columns off first (batch effects). Comparisons with fewer than `least` rows on a side have nulls.
 
-    All rows take part. Rows are numbered in a hashed order and dealt to blocks; each pair of blocks is a task that returns three kernel sums for each permutation,
+    All rows take part. Rows are numbered in a hashed order and dealt to blocks; each pair of blocks is a task (dealt to a partition of its own, by hash) that returns three kernel sums for each permutation,
     whose labels follow from a row's number alone. Row ids are distinct within a group; rows with null keys, condition, time or vector are left out.
     """
     c = F.col(condition).cast("string")
@@ -88,7 +89,7 @@ def mmd_tests(rows: DataFrame, keys: list[str], condition: str, comparisons: lis
     sent = sent.select(*scope, "_v", "_first", "_place", "_all", "n_a", "bandwidth", "_own", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"))
 
     def sums(key: tuple, table: pa.Table) -> pa.Table:
-        own, v, place = table.column("_own").to_numpy(), np.array(table.column("_v").to_pylist(), np.float64), table.column("_place").to_numpy()
+        own, v, place = table.column("_own").to_numpy(), _matrix(table.column("_v")), table.column("_place").to_numpy()
         first, total, n, h = table.column("_first").to_numpy(zero_copy_only=False).astype(bool), table.column("_all")[0].as_py(), table.column("n_a")[0].as_py(), table.column("bandwidth")[0].as_py()
         labels = np.stack([first, *[permuted(place, total, n, b, seed) for b in range(1, permutations + 1)]], 1).astype(np.float64)
         p, q = key[-2].as_py(), key[-1].as_py()
@@ -112,6 +113,9 @@ def mmd_tests(rows: DataFrame, keys: list[str], condition: str, comparisons: lis
         keys_ = [pa.array([k.as_py()] * (permutations + 1), k.type) for k in key[:-2]]
         return pa.Table.from_arrays([*keys_, pa.array(range(permutations + 1), pa.int32()), *[pa.array(o) for o in out]], names=names)
 
+    blocks = F.expr(f"(_all + {block - 1}) div {block}")
+    tasks = sizes.agg(F.sum(blocks * (blocks + 1) / 2)).first()[0] or 1  # so many that merging small partitions can't bring many pairs of blocks into one task
+    sent = sent.repartition(int(max(1, min(tasks, 20_000))), *scope, "_p", "_q")
     parts = sent.groupBy(*scope, "_p", "_q").applyInArrow(sums, f"{schema(scope)}, _b int, _aa double, _bb double, _ab double")
     per = parts.groupBy(*scope, "_b").agg(*[F.sum(s).alias(s) for s in ("_aa", "_bb", "_ab")]).join(sizes, scope)
     na, nb = F.col("n_a"), F.col("n_b")
