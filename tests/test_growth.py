@@ -1,8 +1,10 @@
 """Plans and shapes of jobs whose time grew faster than their tables."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tracklake.operators import aggregates, kernel_tests
+from tracklake.operators import aggregates, evaluation, kernel_tests
 
 
 def plan(df):
@@ -29,3 +31,21 @@ def test_pairs_of_blocks_are_not_merged_into_few_tasks(spark):
     stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("blocks") for s in status.getJobInfo(j).stageIds]
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert max(s.numTasks for s in stages if s) == 13 * 14 // 2
+
+
+def test_rankings_of_queries_by_ranges_make_no_row_for_each_pair(spark):
+    r = np.random.default_rng(1)
+    x = np.round(r.normal(size=(400, 3)), 1)
+    x[50:120] = x[0]  # copies: ties
+    kinds = [None if i % 17 == 0 else int(i % 3) for i in range(400)]
+    e = spark.createDataFrame([(i, v.tolist(), k) for i, (v, k) in enumerate(zip(x, kinds, strict=True))] + [(1000, None, 1), (1001, [None, 0.0, 0.0], 1)], "id long, v array<float>, label int").repartition(3)
+    got = evaluation.retrieval_precision(e.where("id % 40 = 0"), e, "id", "label", "v", 50, 3, 60, 70)
+    assert "NestedLoop" not in plan(got)
+    found = {a.id: a.ap for a in got.collect()}
+    y = x.astype(np.float32).astype(float)
+    for i in range(0, 400, 40):
+        pairs = [(((y[j] - y[i]) ** 2).sum(), kinds[i] is not None and kinds[j] == kinds[i]) for j in range(400) if j != i]
+        total = sum(ok for _, ok in pairs)
+        want = sum(sum(o for e, o in pairs if e <= d) / sum(e <= d for e, _ in pairs) for d, ok in pairs if ok) / total if total else None
+        assert found.pop(i) == (want if want is None else pytest.approx(want))
+    assert not found

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.functions.lineage import if_few
-from tracklake.operators.aggregates import average_precision
+from tracklake.functions.lineage import cut
+from tracklake.operators.clusters import _matrix
 from tracklake.operators.index import hashed_order
-from tracklake.operators.vectors import squared_distance
 
 
 def image_agreement(rows: DataFrame, keys: list[str], predicted: str, truth: str) -> DataFrame:
@@ -85,12 +86,69 @@ def grouped_records(records: DataFrame, dataset: str, marker: str, well: str, fi
     return r.groupBy("name").agg(*firsts, F.array_join(F.array_sort(F.collect_set(well)), ",").alias("wells"), F.count("*").alias("n"))
 
 
-def retrieval_precision(queries: DataFrame, rows: DataFrame, row: str, label: str, vector: str) -> DataFrame:
+def retrieval_precision(queries: DataFrame, rows: DataFrame, row: str, label: str, vector: str, sample: int = 1024, group: int = 256, chunk: int = 16_384, share: int = 50_000) -> DataFrame:
     """Of each query the average precision of ranking all other rows by distance, equal labels being right.
 
-    A stated set of queries meets all rows; scores are counted and summed over ranges, so no query's ranking lies in one task.
+    A stated set of queries meets all rows: groups of queries meet chunks of rows in tasks, which return, for each query and range of scores, the distinct scores with their counts as arrays. Ranges hold about
+    `share` rows, by quantiles of the query's distances to a hashed sample, and are ranked one by one, after counts of the ranges before them; so no query's ranking lies in one task. Ids are distinct,
+    vectors are of one length; those that are null or hold nulls are left out.
     """
-    q = queries.select(F.col(row).alias("_query"), F.col(label).alias("_label"), F.col(vector).alias("_v"))
-    pairs = rows.select(row, label, vector).join(if_few(q), F.col(row) != F.col("_query"))
-    scored = pairs.select(F.col("_query").alias(row), (-squared_distance(vector, "_v")).alias("score"), (F.col(label) == F.col("_label")).alias("right"))
-    return average_precision(scored, [row], "score", "right")
+    fine = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())
+    of = lambda df, asks: df.where(fine).select(F.col(row).alias("_id"), F.col(label).alias("_label"), F.col(vector).alias("_v"), F.lit(asks).alias("_asks"))
+    r, q = of(rows, False), of(queries, True)
+    kind, n, asked = dict(r.dtypes)["_id"], r.count(), q.count()
+    parts, chunks, ranges = max(1, -(-asked // group)), max(1, -(-n // chunk)), max(1, -(-n // share))
+    some = _matrix(r.orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_v").toArrow().column(0))
+
+    def scores(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Of the columns of x; equal vectors get equal scores, and NaN comes first."""
+        out = np.zeros(x.shape[1])
+        for a, b in zip(x, v.tolist(), strict=True):
+            out += (a - b) ** 2
+        return np.where(np.isnan(out), np.inf, -out)
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        asks, ids, v = table.column("_asks").to_numpy(zero_copy_only=False), table.column("_id").combine_chunks(), _matrix(table.column("_v"))
+        same = ids.dictionary_encode().indices.to_numpy()
+        kinds = table.column("_label").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        others, x, base = np.flatnonzero(~asks), np.ascontiguousarray(v[~asks].T), np.ascontiguousarray(some.T)
+        of, places, values, n_, p_ = [], [], [], [], []
+        for i in np.flatnonzero(asks).tolist():
+            keep = same[others] != same[i]
+            s, right = scores(x, v[i])[keep], ((kinds[others] == kinds[i]) & (kinds[i] >= 0))[keep]
+            distinct, at = np.unique(s, return_inverse=True)
+            total, hits = np.bincount(at, minlength=len(distinct)), np.bincount(at, right, minlength=len(distinct)).astype(np.int64)
+            edges = np.sort(scores(base, v[i]))[[len(some) * k // ranges for k in range(1, ranges)]] if ranges > 1 else np.zeros(0)
+            cuts = [0, *np.searchsorted(distinct, edges).tolist(), len(distinct)]
+            for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if lo < hi:
+                    of.append(i)
+                    places.append(k)
+                    values.append(distinct[lo:hi])
+                    n_.append(total[lo:hi])
+                    p_.append(hits[lo:hi])
+        lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(a) for a in x])), pa.int32()), pa.array(np.concatenate(x) if x else [], t))
+        return pa.Table.from_arrays([ids.take(pa.array(of, pa.int64())), pa.array(places, pa.int32()), lists(values, pa.float64()), lists(n_, pa.int64()), lists(p_, pa.int64())], names=["_id", "_range", "_s", "_n", "_p"])
+
+    to = lambda n, seed: F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = r.select("*", every(parts).alias("_part"), to(chunks, 1).alias("_chunk")).unionByName(q.select("*", to(parts, 2).alias("_part"), every(chunks).alias("_chunk")))
+    found = sent.repartition(min(parts * chunks, 20_000), "_part", "_chunk").groupBy("_part", "_chunk").applyInArrow(meet, f"_id {kind}, _range int, _s array<double>, _n array<long>, _p array<long>")
+    add = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b))
+    before = Window.partitionBy("_id").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    if ranges > 1:
+        counted = cut(found.groupBy("_id", "_range").agg(add("_n").alias("n"), add("_p").alias("p")))
+        counted = counted.select("_id", "_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in ("n", "p")])
+        found = found.join(counted.hint("merge"), ["_id", "_range"])
+    else:
+        found = found.select("*", F.lit(0).cast("long").alias("_before_n"), F.lit(0).cast("long").alias("_before_p"))
+
+    def rank(key: tuple, table: pa.Table) -> pa.Table:
+        s, n_, p_ = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("_s", "_n", "_p"))
+        distinct, at = np.unique(-s, return_inverse=True)
+        n_, p_ = (np.bincount(at, c, minlength=len(distinct)) for c in (n_, p_))
+        upto, hits = table.column("_before_n")[0].as_py() + np.cumsum(n_), table.column("_before_p")[0].as_py() + np.cumsum(p_)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], key[0].type), pa.array([int(p_.sum())]), pa.array([float((p_ * hits / upto).sum())])], names=["_id", "p", "s"])
+
+    ranked = found.groupBy("_id", "_range").applyInArrow(rank, f"_id {kind}, p long, s double")
+    return ranked.groupBy(F.col("_id").alias(row)).agg((F.sum("s") / F.nullif(F.sum("p"), F.lit(0))).alias("ap"))
